@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import slots
+from ..session import slots, spread
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -176,9 +176,11 @@ def encode_corpus(documents: DataFrame, text: str = "text", *, out: str = "ids",
     """``documents`` with the column ``out``: token ids of ``text``, without special tokens.
 
     Null and empty texts give an empty list. A special token's string inside a text is ordinary text. Repeated rows
-    are encoded each; other columns pass through (``out`` replaces a column of that name). No row is shuffled.
+    are encoded each; other columns pass through (``out`` replaces a column of that name). No row is
+    shuffled, unless the input has fewer than half as many partitions as there are task slots.
     """
     v = vocabulary(tokenizer or vocabulary_path())
+    documents = spread(documents)
     known = build_dictionary(documents, text, v, dictionary_words)
     return documents.withColumn(out, F.flatten(encoded_words(F.col(text), v, known)).cast("array<int>"))
 
@@ -186,6 +188,7 @@ def encode_corpus(documents: DataFrame, text: str = "text", *, out: str = "ids",
 def count_tokens(documents: DataFrame, text: str = "text", *, out: str = "n_tokens", tokenizer: str | None = None, dictionary_words: int = 8192) -> DataFrame:
     """``documents`` with the number of tokens of ``text`` (0 for null and empty)."""
     v = vocabulary(tokenizer or vocabulary_path())
+    documents = spread(documents)
     known = build_dictionary(documents, text, v, dictionary_words)
     sizes = F.aggregate(encoded_words(F.col(text), v, known), F.lit(0).cast("bigint"), lambda s, w: s + F.size(w))
     return documents.withColumn(out, sizes)
