@@ -1,11 +1,13 @@
 """Exact spans shared between records: maximal stretches covered by runs of at least ``min_chars`` that stand in another record.
 
 Every window of ``min_chars`` characters is a suffix cut at that depth. Windows are split into groups by a content-defined
-prefix: the ``seed_chars`` characters that hash lowest in the window (its anchor). Equal windows have equal anchors, so
-each group is a complete subtree of the text's suffix tree below that prefix, and consecutive windows of a text that share an
-anchor travel as one *piece*. A group whose anchor stands in one record only is dropped; a piece whose content stands in
+prefix: the ``seed_chars`` characters that hash lowest in the window (its anchor), lengthened to the right, or where the
+window has less room there to the left, to over half of ``min_chars``. Equal windows have equal prefixes, so
+each group is a complete subtree of the text's suffix tree below that prefix, and consecutive windows of a text that share a
+prefix travel as one *piece*. A group whose anchor stands in one record only is dropped; a piece whose content stands in
 two records is shared as a whole (an internal node deep enough for all its windows); only where a run ends must single windows be compared, and
-only for such pieces is text read again. There a group's windows are split further by their own offset and content.
+only for such pieces is text read again. A group's pieces meet in one task as long as they are few; the windows of a hot group are
+split further by their content.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import shuffle_width, spread
 
-PIECES = "doc bigint, key bigint, piece bigint, lo int, n int, anchor int"
+PIECES = "doc bigint, key bigint, piece bigint, lo int, n int"
 RUNS = "doc bigint, lo int, hi int"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,7 +82,7 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces_of(text: str, min_chars: int, seed_chars: int) -> tuple[np.ndarray, ...] | None:
-    """(key, piece hash, first window, number of windows, anchor) of a text's pieces."""
+    """(key, piece hash, first window, number of windows) of a text's pieces."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) < min_chars:
         return None
@@ -88,10 +90,16 @@ def pieces_of(text: str, min_chars: int, seed_chars: int) -> tuple[np.ndarray, .
     at = np.arange(len(codes) - seed_chars + 1)
     seeds = hashes.of(at, at + seed_chars)
     anchors = sliding_argmin(seeds, min_chars - seed_chars + 1)
-    lo = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    room = min_chars - seed_chars
+    offset = anchors - np.arange(len(anchors))
+    right = offset <= room // 2  # the window reaches further to the right of its anchor than to the left
+    lo = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (right[1:] != right[:-1])]))
     hi = np.append(lo[1:], len(anchors))
-    spot = anchors[lo]
-    return seeds[spot], mixed(hashes.of(lo, hi - 1 + min_chars) ^ (hi - lo).astype(np.uint64) ^ mixed((spot - lo).astype(np.uint64))), lo, hi - lo, spot
+    spot, to_right = anchors[lo], right[lo]
+    first = np.where(to_right, spot, spot - room // 2 - 1)
+    last = np.where(to_right, spot + min_chars - room // 2, spot + seed_chars)
+    key = mixed(hashes.of(first, last) ^ np.where(to_right, np.uint64(1), np.uint64(2)))
+    return key, mixed(hashes.of(lo, hi - 1 + min_chars) ^ (hi - lo).astype(np.uint64) ^ mixed((spot - lo).astype(np.uint64))), lo, hi - lo
 
 
 def _cut(min_chars: int, seed_chars: int):
@@ -100,31 +108,76 @@ def _cut(min_chars: int, seed_chars: int):
             found = []
             for doc, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
                 if (p := pieces_of(text, min_chars, seed_chars)) is not None:
-                    key, piece, lo, n, spot = p
-                    found.append(pd.DataFrame({"doc": np.int64(doc), "key": key.view(np.int64), "piece": piece.view(np.int64), "lo": lo.astype(np.int32), "n": n.astype(np.int32), "anchor": spot.astype(np.int32)}))
+                    key, piece, lo, n = p
+                    found.append(pd.DataFrame({"doc": np.int64(doc), "key": key.view(np.int64), "piece": piece.view(np.int64), "lo": lo.astype(np.int32), "n": n.astype(np.int32)}))
             if found:
                 yield pd.concat(found, ignore_index=True)
 
     return run
 
 
-def _windows(min_chars: int):
-    """Window hashes of the wanted pieces of a text: key mixed in, so that only windows of one group can be equal."""
+def _texts(min_chars: int):
+    """The wanted pieces' characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for doc, text, wanted in zip(batch.iloc[:, 0], batch.iloc[:, 1], batch.iloc[:, 2]):
-                hashes = Hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
-                starts = np.concatenate([np.arange(w["lo"], w["lo"] + w["n"]) for w in wanted])
-                found.append(pd.DataFrame({"doc": np.int64(doc), "window": hashes.of(starts, starts + min_chars).view(np.int64), "at": starts.astype(np.int32)}))
-            if found:
-                yield pd.concat(found, ignore_index=True)
+            found = [
+                (doc, w["key"], w["lo"], w["hot"], text[w["lo"] : w["lo"] + w["n"] - 1 + min_chars])
+                for doc, text, wanted in zip(batch["doc"], batch["text"], batch["wanted"]) for w in wanted
+            ]
+            yield pd.DataFrame(found, columns=["doc", "key", "lo", "hot", "chars"])
+
+    return run
+
+
+def window_hashes(batch: pd.DataFrame, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start in the record, hash) of all windows of pieces; only windows of one group can have equal hashes."""
+    rows, starts, hashes = [], [], []
+    for i, (key, lo, chars) in enumerate(zip(batch["key"], batch["lo"], batch["chars"])):
+        h = Hashes(np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32))
+        at = np.arange(len(h.sums) - min_chars)
+        rows.append(np.full(len(at), i))
+        starts.append(at + lo)
+        hashes.append(h.of(at, at + min_chars) ^ mixed(np.array([key], np.int64).view(np.uint64)))
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(starts), np.concatenate(hashes)
+
+
+def _explode(min_chars: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, starts, hashes = window_hashes(batch, min_chars)
+            yield pd.DataFrame({"doc": batch["doc"].to_numpy()[rows], "window": hashes.view(np.int64), "at": starts.astype(np.int32)})
+
+    return run
+
+
+def _meet(min_chars: int):
+    """Runs of windows that stand in two records, of all groups of a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        batch = pd.concat(held, ignore_index=True).sort_values(["doc", "key", "lo"], ignore_index=True)
+        rows, starts, hashes = window_hashes(batch, min_chars)
+        docs = batch["doc"].to_numpy()[rows]
+        order = np.lexsort((docs, hashes))
+        edge = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+        sizes = np.diff(np.append(edge, len(order)))
+        shared = np.empty(len(order), bool)
+        shared[order] = np.repeat(docs[order[edge]] != docs[order[edge + sizes - 1]], sizes)
+        rows, starts, docs = rows[shared], starts[shared], docs[shared]
+        if len(rows):
+            first = np.concatenate([[True], (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)])
+            last = np.append(first[1:], True)
+            yield pd.DataFrame({"doc": docs[first], "lo": starts[first].astype(np.int32), "hi": (starts[last] + min_chars).astype(np.int32)})
 
     return run
 
 
-def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32) -> DataFrame:
+def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32, hot_pieces: int = 20_000) -> DataFrame:
     """(``key``, ``start_char``, ``end_char``) of every maximal shared stretch.
 
     Null, empty and short texts have none. Two rows of one key are one record: what only they share isn't a case, and their
@@ -134,17 +187,19 @@ def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     pieces = spread(docs).mapInPandas(_cut(min_chars, seed_chars), PIECES).persist()
     # one row for each distinct piece: who has it, and one place where it stands
     distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place"))
-    groups = distinct.groupBy("key").agg(F.min("d0").alias("k0"), F.max("d1").alias("k1"), F.max(F.col("d0") == F.col("d1")).alias("ends")).where("k0 <> k1").select("key", "ends")
-    status = distinct.join(groups, "key").select("key", "piece", "place", "ends", (F.col("d0") != F.col("d1")).alias("whole")).persist()
+    groups = distinct.groupBy("key").agg(F.min("d0").alias("k0"), F.max("d1").alias("k1"), F.max(F.col("d0") == F.col("d1")).alias("ends"), (F.count("*") > hot_pieces).alias("hot")).where("k0 <> k1").select("key", "ends", "hot")
+    status = distinct.join(groups, "key").select("key", "piece", "place", "ends", "hot", (F.col("d0") != F.col("d1")).alias("whole")).persist()
     whole = pieces.join(status.where("whole").select("key", "piece"), ["key", "piece"], "left_semi").select(
         "doc", "lo", (F.col("lo") + F.col("n") - 1 + min_chars).alias("hi")
     )
     # where runs end: windows of pieces that stand in one record, against the other pieces of their group
-    wanted = status.where("ends").select("place.doc", F.struct("place.lo", "place.n").alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    windows = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(_windows(min_chars), "doc bigint, window bigint, at int")
-    spread_out = windows.groupBy("window").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1").select("window")
-    ends = windows.join(spread_out, "window", "left_semi").select("doc", F.col("at").alias("lo"), (F.col("at") + min_chars).alias("hi"))
-    return merged_runs(whole.unionByName(ends), key)
+    wanted = status.where("ends").select("place.doc", F.struct("key", "place.lo", "place.n", "hot").alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
+    texts = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(_texts(min_chars), "doc bigint, key bigint, lo int, hot boolean, chars string").persist()
+    meeting = texts.where("not hot").repartition(max(shuffle_width(docs.sparkSession), 32), "key").mapInPandas(_meet(min_chars), RUNS)
+    windows = texts.where("hot").mapInPandas(_explode(min_chars), "doc bigint, window bigint, at int")
+    twice = windows.groupBy("window").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1").select("window")
+    hot = windows.join(twice, "window", "left_semi").select("doc", F.col("at").alias("lo"), (F.col("at") + min_chars).alias("hi"))
+    return merged_runs(whole.unionByName(meeting).unionByName(hot), key)
 
 
 def merged_runs(runs: DataFrame, key: str) -> DataFrame:
