@@ -10,10 +10,33 @@ from pyspark.sql import functions as F
 from ..session import read_table
 from .lookalike import found_lookalikes
 from .mixture import mix_report, mix_sources
+from .neighbours import nearest_rows, repaired_norms
+from .pivots import bound_replication, similar_row_links, similar_rows
 from .spans import shared_fraction, shared_spans
 from .tokens import decode_ids, encode_corpus
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_rows(read_table(spark, d, "embedded_df")).select("row_a", "row_b")
+
+
+def p1_norms(spark: SparkSession, d: str) -> DataFrame:
+    fixed = repaired_norms(read_table(spark, d, "embedded_df"))
+    return fixed.select("row_id", F.round("bf_norms", 6).alias("bf_norms"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_rows(read_table(spark, d, "embedded_df"))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return similar_row_links(read_table(spark, d, "embedded_df"))
+
+
+def p4_bound(spark: SparkSession, d: str) -> DataFrame:
+    return bound_replication(read_table(spark, d, "embedded_df"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found_lookalikes(read_table(spark, d, "df1"), read_table(spark, d, "name_list"))
 
@@ -47,9 +70,13 @@ def p8_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_fraction)
+    f.__name__: f for f in (p1_found, p1_norms, p4_found, p4_links, p4_bound, p5_found, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_fraction)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # the true norm, or the stored one where it agrees to six decimals: equal after rounding
+    "p1_norms": """
+        SELECT row_id, CASE WHEN bf_norms IS NULL OR isnan(bf_norms) OR abs(bf_norms - n) > 1e-6 THEN round(n, 6) ELSE round(bf_norms, 6) END AS bf_norms
+        FROM (SELECT *, sqrt(coalesce(len(list_distinct(bf_indices)), 0)::DOUBLE) AS n FROM embedded_df)""",
     "p6_round_trip": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS lost FROM documents",
 }

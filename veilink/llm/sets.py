@@ -234,12 +234,12 @@ def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, folds: tuple[i
     return found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("o", "na", "nb")])
 
 
-def expanded(pairs: DataFrame, copies: DataFrame, a: str, b: str) -> DataFrame:
+def expanded(pairs: DataFrame, copies: DataFrame, a: str, b: str, *also: str) -> DataFrame:
     """Pairs of rows from pairs of representatives and (``rep``, ``row``) of sets that stand in several rows."""
     left = pairs.join(copies.select(F.col("rep").alias("a"), F.col("row").alias("ra")), "a", "left")
     both = left.join(copies.select(F.col("rep").alias("b"), F.col("row").alias("rb")), "b", "left")
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-    return both.select(F.least(x, y).alias(a), F.greatest(x, y).alias(b))
+    return both.select(F.least(x, y).alias(a), F.greatest(x, y).alias(b), *also)
 
 
 def copy_rows(encoded: DataFrame, distinct: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import shuffle_width, spread
 
 PIECES = "doc bigint, key bigint, piece bigint, lo int, n int"
+JUDGED = "doc bigint, key bigint, lo int, n int"
 RUNS = "doc bigint, lo int, hi int"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,24 +178,60 @@ def _meet(min_chars: int):
     return run
 
 
-def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32, hot_pieces: int = 20_000) -> DataFrame:
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of whole groups: pieces that stand in two records (key null), and one place of each piece of a group in which runs end."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    doc, key, piece, lo, n = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("doc", "key", "piece", "lo", "n"))
+    order = np.lexsort((doc, piece, key))
+    doc, key, piece, lo, n = doc[order], key[order], piece[order], lo[order], n[order]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(new_key | np.concatenate([[True], piece[1:] != piece[:-1]]))
+    sizes = np.diff(np.append(first, len(doc)))
+    d0, d1 = doc[first], doc[first + sizes - 1]
+    of_key = np.cumsum(new_key)[first] - 1
+    starts = np.flatnonzero(new_key[first])
+    live = np.minimum.reduceat(d0, starts) != np.maximum.reduceat(d1, starts)
+    ends = live & np.logical_or.reduceat(d0 == d1, starts)
+    is_whole = np.repeat(d0 != d1, sizes)
+    at = first[ends[of_key]]
+    yield pd.DataFrame({"doc": doc[is_whole], "key": pd.array([None] * int(is_whole.sum()), "Int64"), "lo": lo[is_whole], "n": n[is_whole]})
+    yield pd.DataFrame({"doc": doc[at], "key": pd.array(key[at], "Int64"), "lo": lo[at], "n": n[at]})
+
+
+def _judge_hot(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for groups that hold a large share of all pieces, with aggregates that combine before they shuffle."""
+    distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place")).persist()
+    groups = distinct.groupBy("key").agg(F.min("d0").alias("k0"), F.max("d1").alias("k1"), F.max(F.col("d0") == F.col("d1")).alias("ends")).where("k0 <> k1").select("key", "ends")
+    status = distinct.join(F.broadcast(groups), "key")  # at most 500 groups are hot
+    whole = pieces.join(status.where("d0 <> d1").select("key", "piece"), ["key", "piece"], "left_semi").select("doc", F.lit(None).cast("bigint").alias("key"), "lo", "n")
+    return whole, status.where("ends").select("place.doc", "key", "place.lo", "place.n", F.lit(True).alias("hot"))
+
+
+def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(``key``, ``start_char``, ``end_char``) of every maximal shared stretch.
 
     Null, empty and short texts have none. Two rows of one key are one record: what only they share isn't a case, and their
     stretches are merged. Extra columns are ignored, empty tables give no rows. Runs repeated only inside a record don't count.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.length(text) >= min_chars)
     pieces = spread(docs).mapInPandas(_cut(min_chars, seed_chars), PIECES).persist()
-    # one row for each distinct piece: who has it, and one place where it stands
-    distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place"))
-    groups = distinct.groupBy("key").agg(F.min("d0").alias("k0"), F.max("d1").alias("k1"), F.max(F.col("d0") == F.col("d1")).alias("ends"), (F.count("*") > hot_pieces).alias("hot")).where("k0 <> k1").select("key", "ends", "hot")
-    status = distinct.join(groups, "key").select("key", "piece", "place", "ends", "hot", (F.col("d0") != F.col("d1")).alias("whole")).persist()
-    whole = pieces.join(status.where("whole").select("key", "piece"), ["key", "piece"], "left_semi").select(
-        "doc", "lo", (F.col("lo") + F.col("n") - 1 + min_chars).alias("hi")
-    )
-    # where runs end: windows of pieces that stand in one record, against the other pieces of their group
-    wanted = status.where("ends").select("place.doc", F.struct("key", "place.lo", "place.n", "hot").alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(_texts(min_chars), "doc bigint, key bigint, lo int, hot boolean, chars string").persist()
+    n = pieces.count()
+    # every group with over a 500th of all pieces is among these; other groups fit a task
+    frequent = pieces.stat.freqItems(["key"], 0.002).first()[0] or [] if n else []
+    is_hot = F.col("key").isin(frequent) if frequent else F.lit(False)
+    parts = max(shuffle_width(spark), -(-n // 250_000))
+    judged = pieces.where(~is_hot).repartition(parts, "key").mapInPandas(_judge, JUDGED).persist()
+    whole, wanted = judged.where("key is null"), judged.where("key is not null").withColumn("hot", F.lit(False))
+    if frequent:
+        hot_whole, hot_wanted = _judge_hot(pieces.where(is_hot))
+        whole, wanted = whole.unionByName(hot_whole), wanted.unionByName(hot_wanted)
+    whole = whole.select("doc", "lo", (F.col("lo") + F.col("n") - 1 + min_chars).alias("hi"))
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "lo", "n", "hot")).alias("wanted")).persist()
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= broadcast_rows
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "text", "wanted").mapInPandas(_texts(min_chars), "doc bigint, key bigint, lo int, hot boolean, chars string").persist()
     meeting = texts.where("not hot").repartition(max(shuffle_width(docs.sparkSession), 32), "key").mapInPandas(_meet(min_chars), RUNS)
     windows = texts.where("hot").mapInPandas(_explode(min_chars), "doc bigint, window bigint, at int")
     twice = windows.groupBy("window").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1").select("window")
