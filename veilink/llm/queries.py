@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
+from .linkage import link_people
 from .lookalike import found_lookalikes
 from .mixture import mix_report, mix_sources
 from .neighbours import nearest_rows, repaired_norms
 from .pivots import bound_replication, similar_row_links, similar_rows
 from .spans import shared_fraction, shared_spans
 from .tokens import decode_ids, encode_corpus
+from .variants import link_variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +27,22 @@ def p1_norms(spark: SparkSession, d: str) -> DataFrame:
     return fixed.select("row_id", F.round("bf_norms", 6).alias("bf_norms"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_confidence(spark, d).select("id", "personid")
+
+
+def p2_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return link_people(read_table(spark, d, "df1"), read_table(spark, d, "df2"), read_table(spark, d, "short_names"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_rarity(spark, d).select("id_a", "id_b")
+
+
+def p3_rarity(spark: SparkSession, d: str) -> DataFrame:
+    return link_variants(read_table(spark, d, "df1"), read_table(spark, d, "short_names"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_rows(read_table(spark, d, "embedded_df"))
 
@@ -70,7 +88,7 @@ def p8_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_norms, p4_found, p4_links, p4_bound, p5_found, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_fraction)
+    f.__name__: f for f in (p1_found, p1_norms, p2_found, p2_confidence, p3_found, p3_rarity, p4_found, p4_links, p4_bound, p5_found, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_fraction)
 }
 
 ORACLE_SQL: dict[str, str] = {
