@@ -174,7 +174,7 @@ def widened(pairs: DataFrame, distinct: DataFrame, copies: DataFrame, rule: S.Ru
 
 def nearest_rows(
     records: DataFrame, *, key: str = "row_id", column: str = "bf_indices", a: str = "row_a", b: str = "row_b", k: int = 5, least: float = 0.6,
-    universe: int = 1024, probes: int = 8, sigmas: float = 3.0, block_rows: int = 8192,
+    universe: int = 1024, probes: int = 7, sigmas: float = 2.5, block_rows: int = 8192,
 ) -> DataFrame:
     """Pairs of rows (``a`` < ``b``) with ``similarity`` (cosine, six decimals, at least ``least``) where one is among the ``k`` most
     similar of the other; all rows that tie with the k-th count. Each pair once.
@@ -189,7 +189,7 @@ def nearest_rows(
     router = spark.sparkContext.broadcast(fit_router(distinct, distinct.count(), universe=universe))  # universe x most_parts weights
     assigned = S.map_codes(distinct, lambda codes: router.value.route(codes, universe, probes)).persist()
     rule = S.Rule("cosine", least)
-    pairs = checkpointed(S.cell_pairs(assigned, rule, universe=universe, folds=(2, 4), sigmas=sigmas, block_rows=block_rows))
+    pairs = checkpointed(S.cell_pairs(assigned, rule, universe=universe, fold_words=4, sigmas=sigmas, block_rows=block_rows))
     copies = distinct.where("copies > 1").select("rep", "copies")
     pairs = checkpointed(widened(pairs, distinct, copies, rule, universe, k))
     kept = nearest(pairs, copies, k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()

@@ -137,44 +137,54 @@ def fold_limit(apart: float, width: int, sigmas: float | None) -> float:
     return min(apart, width * p + sigmas * np.sqrt(width * p * (1 - p)))
 
 
-def compare_block(words, sizes, left, right, rule: Rule, folds: tuple[int, ...], sigmas: float | None):
-    """Index pairs (i, j, o) that hold the rule: i from ``left``, j from ``right`` (None: within ``left``, each pair once)."""
+def near_pairs(first: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None, rule: Rule, sigmas: float | None, rows: int = 128, columns: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i from ``left``, j from ``right``, None: within ``left``, each once) whose folds ``first`` are near enough for the rule.
+
+    Both sides are ordered by size and compared in tiles, each with the limit that its own sizes give.
+    """
     within = right is None
     left = left[np.argsort(sizes[left], kind="stable")]
     right = left if within else right[np.argsort(sizes[right], kind="stable")]
-    views = [folded(words, k) for k in folds]
-    first, n_right = views[0][right], sizes[right]
+    words = first.shape[1]
+    columns_of = [np.ascontiguousarray(first[right, k]) for k in range(words)]
+    n_left, n_right = sizes[left].astype(float), sizes[right].astype(float)
+    xor, bits, gaps = np.empty((rows, columns), np.uint64), np.empty((rows, columns), np.uint8), np.empty((rows, columns), np.uint8)
+    for lo in range(0, len(left), rows):
+        hi = min(lo + rows, len(left))
+        rows_of = [first[left[lo:hi], k][:, None] for k in range(words)]
+        least = n_left[lo] ** 2 / rule.widest(n_left[lo : lo + 1])[0] if not within else 0
+        start = lo if within else int(np.searchsorted(n_right, least - 1e-6))
+        end = int(np.searchsorted(n_right, rule.widest(n_left[hi - 1 : hi])[0], "right"))
+        for c in range(start, end, columns):
+            d = min(c + columns, end)
+            x, y, g = xor[: hi - lo, : d - c], bits[: hi - lo, : d - c], gaps[: hi - lo, : d - c]
+            far = max(float(rule.most_apart(p, q)) for p in (n_left[lo], n_left[hi - 1]) for q in (n_right[c], n_right[d - 1]))
+            for k in range(words):
+                np.bitwise_xor(rows_of[k], columns_of[k][None, c:d], out=x)
+                if k:
+                    np.bitwise_count(x, out=y)
+                    np.add(g, y, out=g)  # a sum of 256 wraps to 0 and is then only compared for nothing
+                else:
+                    np.bitwise_count(x, out=g)
+            i, j = np.divmod(np.flatnonzero(g <= min(255, int(fold_limit(far, 64 * words, sigmas)))), d - c)
+            i, j = i + lo, j + c
+            if within:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield left[i], right[j]
+
+
+def compare_block(words, sizes, left, right, rule: Rule, fold_words: int, sigmas: float | None):
+    """(i, j, o) of pairs that hold the rule: i from ``left``, j from ``right`` (None: within ``left``, each pair once)."""
     found = []
-    for lo in range(0, len(left), 128):
-        rows = left[lo : lo + 128]
-        n = sizes[rows]
-        # sizes rise: partners lie in one stretch
-        a = lo if within else int(np.searchsorted(n_right, np.ceil(n[0] * (n[0] / max(1, rule.widest(n[:1])[0])) - 1e-9)))
-        b = int(np.searchsorted(n_right, rule.widest(n[-1:])[0], "right"))
-        if b <= a:
-            continue
-        far = rule.most_apart(float(n[-1]), float(n_right[b - 1]))
-        gaps = np.zeros((len(rows), b - a), np.uint16)
-        for k in range(folds[0]):
-            gaps += np.bitwise_count(views[0][rows, k][:, None] ^ first[a:b, k][None, :])
-        i, j = np.nonzero(gaps <= fold_limit(far, 64 * folds[0], sigmas))
-        i, j = i + lo, j + a
-        if within:
-            i, j = i[i < j], j[i < j]
-        for k, view in zip(folds[1:], views[1:]):
-            gap = np.bitwise_count(view[left[i]] ^ view[right[j]]).sum(1)
-            apart = rule.most_apart(sizes[left[i]].astype(float), sizes[right[j]].astype(float))
-            p = (1 - np.exp(-2 * apart / (64 * k))) / 2
-            limit = apart if sigmas is None else np.minimum(apart, 64 * k * p + sigmas * np.sqrt(64 * k * p * (1 - p)))
-            i, j = i[gap <= limit], j[gap <= limit]
-        o = np.bitwise_count(words[left[i]] & words[right[j]]).sum(1).astype(np.int64)
-        good = rule.holds(o, sizes[left[i]], sizes[right[j]])
-        if good.any():
-            found.append(np.stack([left[i[good]], right[j[good]], o[good]]))
+    for i, j in near_pairs(folded(words, fold_words), sizes, left, right, rule, sigmas):
+        o = np.bitwise_count(words[i] & words[j]).sum(1, dtype=np.int64)
+        good = rule.holds(o, sizes[i], sizes[j])
+        found.append(np.stack([i[good], j[good], o[good]]))
     return np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
 
 
-def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, folds: tuple[int, ...] = (1, 2), sigmas: float | None = None, block_rows: int = 8192) -> DataFrame:
+def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: int = 4, sigmas: float | None = None, block_rows: int = 8192) -> DataFrame:
     """Pairs ``a < b`` of records (``rep``, ``code``, ``cells`` array<int>) that share a cell and hold ``rule``, each once.
 
     A cell of more than ``block_rows`` records is cut into blocks at random, and each pair of blocks is a group of its own,
@@ -221,7 +231,7 @@ def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, folds: tuple[i
             same = int(groups[s]) & ((1 << 20) - 1) == (int(groups[s]) >> 20) & ((1 << 20) - 1)
             side, other = (np.arange(len(group)), None) if same else (np.flatnonzero(~second), np.flatnonzero(second))
             at = group
-            i, j, o = compare_block(words[at], sizes[at], side, other, rule, folds, sigmas)
+            i, j, o = compare_block(words[at], sizes[at], side, other, rule, fold_words, sigmas)
             out.append(np.stack([rep[at[i]], rep[at[j]], o, sizes[at[i]], sizes[at[j]]]))
         if out:
             a, b, o, na, nb = np.concatenate(out, axis=1)
