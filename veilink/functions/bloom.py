@@ -63,7 +63,7 @@ class BloomFilter:
 
     def indices(self, features: Column) -> Column:
         """Sorted distinct indices."""
-        return F.array_sort(F.array_distinct(self.raw(F.array_distinct(F.coalesce(features, F.array().cast("array<string>"))))))
+        return F.sort_array(F.array_distinct(self.raw(F.array_distinct(F.coalesce(features, F.array().cast("array<string>"))))))
 
     def collision_fraction(self, features: Column) -> Column:
         """One less the share of distinct indices; 0 where there are no features."""
