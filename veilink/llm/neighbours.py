@@ -147,7 +147,7 @@ def nearest(pairs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     return scored.select("a", "b", "sim").join(kept, ["a", "sim"], "left_semi").select("a", "b", "sim")
 
 
-def widened(pairs: DataFrame, distinct: DataFrame, copies: DataFrame, rule: S.Rule, universe: int, k: int) -> DataFrame:
+def widened(pairs: DataFrame, distinct: DataFrame, rule: S.Rule, universe: int, k: int) -> DataFrame:
     """``pairs`` and those among the ``k`` nearest of one vector that hold ``rule`` but weren't found.
 
     A vector brings at most ``k`` of its neighbours together (ties beyond ``k`` by smallest id): this step only adds
@@ -158,23 +158,12 @@ def widened(pairs: DataFrame, distinct: DataFrame, copies: DataFrame, rule: S.Ru
     around = top.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
     ends = F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.filter("near", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
     new = around.select(ends.alias("p")).select("p.a", "p.b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    codes = distinct.select("rep", "code")
-    involved = codes.join(top.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
-    both = new.join(involved.select(F.col("rep").alias("a"), F.col("code").alias("xa")), "a").join(involved.select(F.col("rep").alias("b"), F.col("code").alias("xb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (wa, na), (wb, nb) = S.bit_words(b.column(2), universe), S.bit_words(b.column(3), universe)
-            o = np.bitwise_count(wa & wb).sum(1).astype(np.int64)
-            good = np.flatnonzero(rule.holds(o, na, nb))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), b.column(1).take(pa.array(good)), *(pa.array(x[good].astype(np.int32)) for x in (o, na, nb))], ["a", "b", "o", "na", "nb"])
-
-    return pairs.unionByName(both.select("a", "b", "xa", "xb").mapInArrow(run, S.PAIRS))
+    return pairs.unionByName(S.verified(new, distinct, rule, universe))
 
 
 def nearest_rows(
     records: DataFrame, *, key: str = "row_id", column: str = "bf_indices", a: str = "row_a", b: str = "row_b", k: int = 5, least: float = 0.6,
-    universe: int = 1024, probes: int = 7, sigmas: float = 2.5, block_rows: int = 8192,
+    universe: int = 1024, probes: int = 4, sigmas: float = 2.5, block_rows: int = 8192,
 ) -> DataFrame:
     """Pairs of rows (``a`` < ``b``) with ``similarity`` (cosine, six decimals, at least ``least``) where one is among the ``k`` most
     similar of the other; all rows that tie with the k-th count. Each pair once.
@@ -191,7 +180,7 @@ def nearest_rows(
     rule = S.Rule("cosine", least)
     pairs = checkpointed(S.cell_pairs(assigned, rule, universe=universe, fold_words=4, sigmas=sigmas, block_rows=block_rows))
     copies = distinct.where("copies > 1").select("rep", "copies")
-    pairs = checkpointed(widened(pairs, distinct, copies, rule, universe, k))
+    pairs = checkpointed(widened(pairs, distinct, rule, universe, k))
     kept = nearest(pairs, copies, k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
     members = S.copy_rows(encoded, distinct)
     links = S.expanded(kept, members, a, b, "sim").unionByName(S.copy_pairs(members, a, b).withColumn("sim", F.lit(1.0)))

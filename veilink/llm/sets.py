@@ -184,64 +184,117 @@ def compare_block(words, sizes, left, right, rule: Rule, fold_words: int, sigmas
     return np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
 
 
-def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: int = 4, sigmas: float | None = None, block_rows: int = 8192) -> DataFrame:
-    """Pairs ``a < b`` of records (``rep``, ``code``, ``cells`` array<int>) that share a cell and hold ``rule``, each once.
+def placed(assigned: DataFrame, columns: list[str], block_rows: int) -> DataFrame | None:
+    """A row (``place``, ``columns``) for each record and cell, laid out so that a partition holds whole groups; None without any.
 
     A cell of more than ``block_rows`` records is cut into blocks at random, and each pair of blocks is a group of its own,
-    so no task ever holds more than two blocks of a cell, however hot it is.
+    so no task ever holds more than two blocks of a cell, however hot it is. ``place`` is cell, both blocks, and which of them holds the record.
     """
     spark = assigned.sparkSession
     counts = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1).collect()  # as many rows as cells
     if not counts:
-        return spark.createDataFrame([], PAIRS)
+        return None
     blocks = [0] * (max(r["cell"] for r in counts) + 1)
     for r in counts:
         blocks[r["cell"]] = -(-r["n"] // block_rows)
-    moved = sum(r["n"] * -(-r["n"] // block_rows) for r in counts)
-    parts = max(shuffle_width(spark), -(-moved // 60_000))
+    parts = max(shuffle_width(spark), -(-sum(r["n"] * blocks[r["cell"]] for r in counts) // 60_000))
     per_cell = F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<int>")
-    rows = (
-        assigned.select("rep", "code", F.explode("cells").alias("cell"))
-        .withColumn("cell", F.col("cell").cast("bigint")).withColumn("g", F.coalesce(F.get(per_cell, F.col("cell").cast("int")), F.lit(0))).where("g > 0")
+    place = ((F.col("cell").cast("bigint") * (1 << 20) + F.least("block", "other")) * (1 << 20) + F.greatest("block", "other")) * 2 + (F.col("block") > F.col("other")).cast("bigint")
+    return (
+        assigned.select(*columns, F.explode("cells").alias("cell"))
+        .withColumn("g", F.coalesce(F.get(per_cell, F.col("cell")), F.lit(0))).where("g > 0")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-        .select("rep", "code", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-        .select(
-            "rep", "code",
-            # cell, both blocks of the group, and which of them holds the record: one number
-            (((F.col("cell") * (1 << 20) + F.least("block", "other")) * (1 << 20) + F.greatest("block", "other")) * 2 + (F.col("block") > F.col("other")).cast("bigint")).alias("place"),
-        )
+        .select(*columns, "cell", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+        .select(place.alias("place"), *columns)
         .repartition(parts, F.shiftright("place", 1))
     )
 
+
+def groups_of(place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(records, left, right) of each group of a partition; left and right index the records, right is None within one block."""
+    order = np.argsort(place, kind="stable")
+    keys = place[order] >> 1
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    low = (1 << 20) - 1
+    for s, e in zip(new, np.append(new[1:], len(order))):
+        at = order[s:e]
+        if len(at) < 2:
+            continue
+        second = (place[at] & 1).astype(bool)
+        same = int(keys[s]) & low == (int(keys[s]) >> 20) & low
+        yield (at, np.arange(len(at)), None) if same else (at, np.flatnonzero(~second), np.flatnonzero(second))
+
+
+def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: int = 4, sigmas: float | None = None, block_rows: int = 8192) -> DataFrame:
+    """Pairs ``a < b`` of records (``rep``, ``code``, ``cells`` array<int>) that share a cell and hold ``rule``, each once."""
+    rows = placed(assigned, ["rep", "code"], block_rows)
+    if rows is None:
+        return assigned.sparkSession.createDataFrame([], PAIRS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rep, place = (whole_column(held, c).to_numpy() for c in ("rep", "place"))
         words, sizes = bit_words(whole_column(held, "code"), universe)
-        order = np.argsort(place, kind="stable")
-        groups = place[order] >> 1
-        new = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
         out = []
-        for s, e in zip(new, np.append(new[1:], len(order))):
-            group = order[s:e]
-            if len(group) < 2:
-                continue
-            second = (place[group] & 1).astype(bool)
-            same = int(groups[s]) & ((1 << 20) - 1) == (int(groups[s]) >> 20) & ((1 << 20) - 1)
-            side, other = (np.arange(len(group)), None) if same else (np.flatnonzero(~second), np.flatnonzero(second))
-            at = group
-            i, j, o = compare_block(words[at], sizes[at], side, other, rule, fold_words, sigmas)
+        for at, left, right in groups_of(place):
+            i, j, o = compare_block(words[at], sizes[at], left, right, rule, fold_words, sigmas)
             out.append(np.stack([rep[at[i]], rep[at[j]], o, sizes[at[i]], sizes[at[j]]]))
         if out:
             a, b, o, na, nb = np.concatenate(out, axis=1)
             swap = a > b
-            flat = np.stack([np.where(swap, b, a), np.where(swap, a, b), o, np.where(swap, nb, na), np.where(swap, na, nb)])
-            flat = np.unique(flat, axis=1)
+            flat = np.unique(np.stack([np.where(swap, b, a), np.where(swap, a, b), o, np.where(swap, nb, na), np.where(swap, na, nb)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), *(pa.array(x.astype(np.int32)) for x in flat[2:])], ["a", "b", "o", "na", "nb"])
 
-    found = rows.mapInArrow(run, PAIRS)
-    return found.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("o", "na", "nb")])
+    return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("o", "na", "nb")])
+
+
+def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 8192) -> DataFrame:
+    """Pairs ``a < b`` of (``rep``, ``size``, ``f0``, ``f1``, ``cells``) that share a cell and whose folds don't rule them out, each once.
+
+    Only a 128-bit fold and the size travel to the cells. The fold never differs in more bits than the sets do in elements, so no pair
+    that holds the rule is lost here; nearly all others are.
+    """
+    rows = placed(sketched, ["rep", "size", "f0", "f1"], block_rows)
+    if rows is None:
+        return sketched.sparkSession.createDataFrame([], "a bigint, b bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rep, place, size, f0, f1 = (whole_column(held, c).to_numpy() for c in ("rep", "place", "size", "f0", "f1"))
+        folds, size = np.stack([f0, f1], axis=1).view(np.uint64), size.astype(np.int64)
+        out = []
+        for at, left, right in groups_of(place):
+            mine, sizes = np.ascontiguousarray(folds[at]), size[at]
+            for i, j in near_pairs(mine[:, :1], sizes, left, right, rule, None):
+                gap = np.bitwise_count(mine[i] ^ mine[j]).sum(1)
+                keep = gap <= rule.most_apart(sizes[i].astype(float), sizes[j].astype(float))
+                a, b = rep[at[i[keep]]], rep[at[j[keep]]]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        if out:
+            flat = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, rule: Rule, universe: int) -> DataFrame:
+    """Of pairs (``a``, ``b``) those that hold the rule, with ``o``, ``na`` and ``nb``. Only codes of sets that are in a pair travel."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    involved = distinct.select("rep", "code").join(ids, "rep", "left_semi").persist()
+    both = pairs.join(involved.select(F.col("rep").alias("a"), F.col("code").alias("xa")), "a").join(involved.select(F.col("rep").alias("b"), F.col("code").alias("xb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (wa, na), (wb, nb) = bit_words(b.column(2), universe), bit_words(b.column(3), universe)
+            o = np.bitwise_count(wa & wb).sum(1).astype(np.int64)
+            good = np.flatnonzero(rule.holds(o, na, nb))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good)), b.column(1).take(pa.array(good)), *(pa.array(x[good].astype(np.int32)) for x in (o, na, nb))], ["a", "b", "o", "na", "nb"])
+
+    return both.select("a", "b", "xa", "xb").mapInArrow(run, PAIRS)
 
 
 def expanded(pairs: DataFrame, copies: DataFrame, a: str, b: str, *also: str) -> DataFrame:
@@ -272,14 +325,28 @@ def sample_codes(distinct: DataFrame, n: int, seed: int = 0) -> list[bytes]:
     return [bytes(r[0]) for r in distinct.select("code").orderBy(F.xxhash64("code", F.lit(seed)), "code").limit(n).collect()]
 
 
+def _lists(cells: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in cells])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cells).astype(np.int32) if cells else np.empty(0, np.int32)))
+
+
 def map_codes(distinct: DataFrame, route: Callable[[pa.BinaryArray], list[np.ndarray]]) -> DataFrame:
-    """``distinct`` with ``cells``: what ``route`` gives for each code of a batch."""
+    """(``rep``, ``code``, ``cells``): what ``route`` gives for each code of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(route(b.column(1)))], ["rep", "code", "cells"])
+
+    return distinct.select("rep", "code").mapInArrow(run, "rep bigint, code binary, cells array<int>")
+
+
+def map_sketches(distinct: DataFrame, route: Callable[[pa.BinaryArray], list[np.ndarray]], universe: int) -> DataFrame:
+    """(``rep``, ``size``, ``f0``, ``f1``, ``cells``): size and 128-bit fold of each set, and its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = route(b.column(1))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rep", "code", "copies", "cells"])
+            words, sizes = bit_words(b.column(1), universe)
+            folds = folded(words, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), pa.array(folds[:, 0].copy()), pa.array(folds[:, 1].copy()), _lists(route(b.column(1)))], ["rep", "size", "f0", "f1", "cells"])
 
-    return distinct.select("rep", "code", "copies").mapInArrow(run, "rep bigint, code binary, copies bigint, cells array<int>")
+    return distinct.select("rep", "code").mapInArrow(run, "rep bigint, size int, f0 bigint, f1 bigint, cells array<int>")
