@@ -25,9 +25,14 @@ def no_features() -> Column:
 
 
 def case_folded(c: Column) -> Column:
-    """Full case folding, by way of upper case; the dotless i, which has no folding, is kept."""
-    kept = F.translate(c, "ı", "")
-    return F.translate(F.lower(F.upper(kept)), "ς", "σı")
+    """Full case folding: letters that fold to several first (only where a value has one), the others by way of upper case. The
+    dotless i, which has no folding, is kept."""
+    several = {x: x.casefold() for x in map(chr, range(0x80, 0xFB18)) if len(x.casefold()) > 1}
+    long = c
+    for x, y in several.items():
+        long = F.replace(long, F.lit(x), F.lit(y))
+    c = F.when(c.rlike("[" + "".join(several) + "]"), long).otherwise(c)
+    return F.translate(F.lower(F.upper(F.translate(c, "ı", "\ue000"))), "ς\ue000", "σı")
 
 
 def tokens(c: Column) -> Column:
