@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width
 
+BROADCAST_ROWS = 1_000_000  # ids or pairs that may be sent to all executors; more are joined by shuffles
 PAIRS = "a bigint, b bigint, o int, na int, nb int"
 
 
@@ -225,7 +226,7 @@ def groups_of(place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield (at, np.arange(len(at)), None) if same else (at, np.flatnonzero(~second), np.flatnonzero(second))
 
 
-def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: int = 4, sigmas: float | None = None, block_rows: int = 8192) -> DataFrame:
+def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: int = 4, sigmas: float | None = None, block_rows: int = 32768) -> DataFrame:
     """Pairs ``a < b`` of records (``rep``, ``code``, ``cells`` array<int>) that share a cell and hold ``rule``, each once."""
     rows = placed(assigned, ["rep", "code"], block_rows)
     if rows is None:
@@ -250,7 +251,7 @@ def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: in
     return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("o", "na", "nb")])
 
 
-def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 8192) -> DataFrame:
+def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768) -> DataFrame:
     """Pairs ``a < b`` of (``rep``, ``size``, ``f0``, ``f1``, ``cells``) that share a cell and whose folds don't rule them out, each once.
 
     Only a 128-bit fold and the size travel to the cells. The fold never differs in more bits than the sets do in elements, so no pair
@@ -283,7 +284,9 @@ def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 8192) ->
 
 def verified(pairs: DataFrame, distinct: DataFrame, rule: Rule, universe: int) -> DataFrame:
     """Of pairs (``a``, ``b``) those that hold the rule, with ``o``, ``na`` and ``nb``. Only codes of sets that are in a pair travel."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().persist()
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     involved = distinct.select("rep", "code").join(ids, "rep", "left_semi").persist()
     both = pairs.join(involved.select(F.col("rep").alias("a"), F.col("code").alias("xa")), "a").join(involved.select(F.col("rep").alias("b"), F.col("code").alias("xb")), "b")
 
@@ -307,7 +310,10 @@ def expanded(pairs: DataFrame, copies: DataFrame, a: str, b: str, *also: str) ->
 
 def copy_rows(encoded: DataFrame, distinct: DataFrame) -> DataFrame:
     """(``rep``, ``row``) of every set that stands in several rows."""
-    return encoded.join(distinct.where("copies > 1").select("code", "rep"), "code").select("rep", "row").distinct()
+    several = distinct.where("copies > 1").select("code", "rep")
+    if several.count() <= BROADCAST_ROWS // 5:  # a code is longer than an id
+        several = F.broadcast(several)
+    return encoded.join(several, "code").select("rep", "row").distinct()
 
 
 def copy_pairs(copies: DataFrame, a: str, b: str) -> DataFrame:
