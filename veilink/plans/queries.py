@@ -164,7 +164,7 @@ def compare_by_index(spark, d):
 
 def match_many(spark, d):
     pairs = compare(embedder(), embedded_a(spark, d, True), embedded_b(spark, d, True), least=CUTOFF)
-    return match(pairs, abs_cutoff=CUTOFF).select("id1", "id2", F.round("sim", 6).alias("sim"))
+    return match(pairs, abs_cutoff=CUTOFF, mode="many").select("id1", "id2", F.round("sim", 6).alias("sim"))
 
 
 def match_exact(spark, d):
@@ -190,7 +190,7 @@ def private_index_invariants(spark, d):
 def match_performance(spark, d):
     e1, e2 = supplier_pairs(spark, d)
     a, b = suppliers(spark, d)
-    p = performance(match(compare(embedder(), e1, e2), abs_cutoff=0.9, require_thresholds=False), a, b, "s_suppkey", "other")
+    p = performance(match(compare(embedder(), e1, e2), abs_cutoff=0.9, mode="many", require_thresholds=False), a, b, "s_suppkey", "other")
     return p.select("matches", "true_positives", "false_positives", "possible", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
