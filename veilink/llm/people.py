@@ -29,7 +29,7 @@ SEXES = {"m": "m", "male": "m", "masc": "m", "man": "m", "f": "f", "female": "f"
 STANDARD = "id bigint, written string, toks array<string>, initials array<string>, sex string, y int, m int, d int, instrument string, county string"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def plain(token: str) -> str:
     """Lower-case letters without accents, look-alikes of other scripts made Latin where the token mixes scripts."""
     token = unicodedata.normalize("NFD", forms_of(token)[0].lower())
@@ -38,7 +38,7 @@ def plain(token: str) -> str:
     return re.sub(r"([aou])e(?=[^aeiou]|$)", r"\1", token)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def sound(token: str) -> str:
     """A plain token under spelling rules that keep the sound: k for c, ck, kh, q; i for y; v for w; single letters for double ones."""
     t = re.sub(r"ph", "f", token)
@@ -58,7 +58,7 @@ def split_name(*fields: str | None) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(toks)), list(dict.fromkeys(initials))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def read_date(text: str | None) -> tuple[int | None, int | None, int | None]:
     """(year, month, day) of a date in one of the usual orders (day before month); what isn't there or can't be is None."""
     s = (text or "").strip().lower()
@@ -106,7 +106,7 @@ def standard_people(people: DataFrame, key: str, names: tuple[str, ...], sex: st
     return last.select("id", *[F.col(f"r.{c}") for c in cols]).mapInPandas(run, STANDARD)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def edits(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, changes and swaps of neighbours between two tokens, up to ``most`` + 1."""
     if abs(len(a) - len(b)) > most:
