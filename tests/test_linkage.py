@@ -27,12 +27,13 @@ def toy(spark):
     e = Embedder(options={"shingled": {"label": "instrument"}})
     spec_a = {"first_name": "name", "last_name": "name", "gender": "sex", "instrument": "shingled"}
     spec_b = {"name": "name", "sex": "sex", "main_instrument": "shingled"}
-    return e, e.embed(a, spec_a, "id", update_thresholds=True), e.embed(b, spec_b, "id", update_thresholds=True)
+    made = [e.embed(d, s, "id", update_thresholds=True) for d, s in ((a, spec_a), (b, spec_b))]
+    return e, *(Embedded(m.df.persist(), m.checksum, "id") for m in made)
 
 
 def test_golden_matrix_and_match(toy):
     e, x, y = toy
-    pairs = compare(e, x, y)
+    pairs = compare(e, x, y).persist()
     got = {(r.id1, r.id2): r.sim for r in pairs.collect()}
     want = [[0.81229552, 0.1115206, 0.09557733], [0.35460909, 0.16368072, 0.60428527], [0.11720977, 0.50957391, 0.10343462]]
     assert all(abs(got[i, j] - want[i][j]) < 1e-6 for i in range(3) for j in range(3))
