@@ -179,7 +179,7 @@ def _meet(min_chars: int):
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of whole groups: pieces that stand in two records (key null), and one place of each piece of a group in which runs end."""
+    """Of whole groups: pieces that stand in two records (key null), and the pieces of a group in which runs end."""
     held = [b for b in batches if len(b)]
     if not held:
         return
@@ -195,18 +195,23 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     live = np.minimum.reduceat(d0, starts) != np.maximum.reduceat(d1, starts)
     ends = live & np.logical_or.reduceat(d0 == d1, starts)
     is_whole = np.repeat(d0 != d1, sizes)
-    at = first[ends[of_key]]
+    # all places of a piece that stands in one record, and of the others one place in each of two records to compare with
+    single, both = np.repeat(ends[of_key] & (d0 == d1), sizes), ends[of_key] & (d0 != d1)
+    at = np.concatenate([np.flatnonzero(single), first[both], (first + sizes - 1)[both]])
     yield pd.DataFrame({"doc": doc[is_whole], "key": pd.array([None] * int(is_whole.sum()), "Int64"), "lo": lo[is_whole], "n": n[is_whole]})
     yield pd.DataFrame({"doc": doc[at], "key": pd.array(key[at], "Int64"), "lo": lo[at], "n": n[at]})
 
 
 def _judge_hot(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for groups that hold a large share of all pieces, with aggregates that combine before they shuffle."""
-    distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place")).persist()
+    distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place"), F.max(F.struct("doc", "lo", "n")).alias("last")).persist()
     groups = distinct.groupBy("key").agg(F.min("d0").alias("k0"), F.max("d1").alias("k1"), F.max(F.col("d0") == F.col("d1")).alias("ends")).where("k0 <> k1").select("key", "ends")
     status = distinct.join(F.broadcast(groups), "key")  # at most 500 groups are hot
     whole = pieces.join(status.where("d0 <> d1").select("key", "piece"), ["key", "piece"], "left_semi").select("doc", F.lit(None).cast("bigint").alias("key"), "lo", "n")
-    return whole, status.where("ends").select("place.doc", "key", "place.lo", "place.n", F.lit(True).alias("hot"))
+    single = pieces.join(status.where("ends and d0 = d1").select("key", "piece"), ["key", "piece"], "left_semi").select("doc", "key", "lo", "n", F.lit(True).alias("hot"))
+    for place in ("place", "last"):
+        single = single.unionByName(status.where("ends and d0 <> d1").select(f"{place}.doc", "key", f"{place}.lo", f"{place}.n", F.lit(True).alias("hot")))
+    return whole, single
 
 
 def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
