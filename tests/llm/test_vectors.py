@@ -81,6 +81,39 @@ def test_similar_rows(table, threshold, block):
     assert len(got) == len(set(got)) and set(got) == brute_jaccard(sets, threshold)
 
 
+def dense_region(groups=15, seed=7):
+    """Sets of one dense region, all of whose sets are within the bound of each other: in each group two sets at 50/70, each with 15 sets that are nearer to it."""
+    r = random.Random(seed)
+    core, rows = r.sample(range(1024), 36), []
+    for _ in range(groups):
+        own = r.sample(sorted(set(range(1024)) - set(core)), 34)
+        common, sides = own[:14], (own[14:24], own[24:])
+        for side in sides:
+            for k in range(16):
+                one = core + common + side
+                if k:
+                    one.remove(r.choice(common))
+                    one.append(r.choice(sorted(set(range(1024)) - set(core) - set(own))))
+                rows.append((len(rows), one, None, "", 0))
+    return rows
+
+
+@pytest.mark.parametrize("block", [32768, 100])
+def test_all_pairs_of_a_dense_region(spark, block):
+    rows = dense_region()
+    want = brute_jaccard(sets_of(rows), 0.7)
+    got = [tuple(r) for r in pivots.similar_rows(spark.createDataFrame(rows, SCHEMA), rows_per_cell=1, block_rows=block).collect()]
+    assert {(i, i + 16) for i in range(0, len(rows), 32)} <= want and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85])
+def test_segments_lose_no_pair(threshold):
+    sets = {k: x for k, x in sets_of(clusters() + [(20_000 + i, list(range(i)), None, "", 0) for i in range(1, 60)]).items()}
+    kept, codes = S.encode(pa.array([sorted(sets[k]) for k in sorted(sets)], pa.list_(pa.int32())), 1024)
+    cells = dict(zip(sorted(sets), map(set, S.Segments(S.Rule("jaccard", threshold), [bytes(c.as_py()) for c in codes[:100]], max(map(len, sets.values())), 1024).cells(codes))))
+    assert all(cells[a] & cells[b] for a, b in brute_jaccard(sets, threshold))
+
+
 def test_exactly_at_the_threshold(spark):
     rows = [(1, list(range(7)), None, "", 0), (2, list(range(10)), None, "", 0), (3, list(range(6)) + [99], None, "", 0)]
     got = {tuple(r) for r in pivots.similar_rows(spark.createDataFrame(rows, SCHEMA), threshold=0.7).collect()}

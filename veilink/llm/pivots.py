@@ -6,9 +6,9 @@ exactly inside each cell.
 The triangle inequality says where a record's partners can be: a partner within ``r`` of a record at ``d`` from its nearest
 pivot may have any pivot within ``d + 2r`` as its own nearest. On sets over a small universe nearly all distances
 lie close to one, and with ``r = 0.3`` this bound names every cell for nearly every record (``bound_replication``
-measures it). A record is therefore replicated to the ``replicas`` nearest cells that pass the bound; whoever has fewer
-within the bound is complete. The recall of that is a measured figure, not a proof; a threshold near one, where the
-bound bites, gives it exactly.
+measures it). A record goes to all cells within the bound if there are at most ``replicas`` of them: it meets every partner, since each
+partner is in the cell of its own nearest pivot. Every other record goes to its nearest cell, and two of these meet in the cells of their segments
+(``sets.Segments``), which lose none either. So all pairs are found, whatever the data.
 """
 
 from __future__ import annotations
@@ -52,12 +52,11 @@ def _table(pivots: tuple[bytes, ...], universe: int) -> tuple[np.ndarray, np.nda
     return _TABLES[key]
 
 
-def nearest_cells(similarity: np.ndarray, replicas: int, radius: float) -> list[np.ndarray]:
-    """The ``replicas`` nearest pivots, of those within the triangle bound ``nearest + 2 * radius``."""
-    k = min(replicas, similarity.shape[1])
-    top = np.argpartition(-similarity, k - 1, axis=1)[:, :k] if k < similarity.shape[1] else np.tile(np.arange(k), (len(similarity), 1))
-    inside = np.take_along_axis(similarity, top, 1) >= similarity.max(axis=1, keepdims=True) - 2 * radius - 1e-6
-    return [t[keep] for t, keep in zip(top, inside)]
+def nearest_cells(similarity: np.ndarray, replicas: int, radius: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """All pivots within the triangle bound ``nearest + 2 * radius`` where they are at most ``replicas``, else the nearest; and which sets have them all."""
+    inside = similarity >= similarity.max(axis=1, keepdims=True) - 2 * radius - 1e-6
+    whole = inside.sum(1) <= replicas
+    return [np.flatnonzero(row) if w else np.array([top]) for row, w, top in zip(inside, whole, similarity.argmax(axis=1))], whole
 
 
 def n_cells(sets: int, rows_per_cell: int, most: int) -> int:
@@ -77,15 +76,24 @@ def similar_sets(
     encoded = S.encoded_sets(records, key, column, universe).persist()
     distinct = S.distinct_sets(encoded).persist()
     pivots = S.sample_codes(distinct, n_cells(distinct.count(), rows_per_cell, most_pivots))
-    shared = records.sparkSession.sparkContext.broadcast(pivots)  # at most most_pivots codes
+    rule = S.Rule("jaccard", threshold)
+    heads = 2 * -(-universe // 256)  # bytes of a code besides its positions
+    largest = (distinct.agg(F.max(F.length("code"))).first()[0] or heads) - heads
+    shared = records.sparkSession.sparkContext.broadcast((pivots, S.Segments(rule, pivots, largest, universe)))  # at most most_pivots codes
 
     def route(codes: pa.BinaryArray) -> list[np.ndarray]:
+        pivots, segments = shared.value
         out: list[np.ndarray] = []
         for lo in range(0, len(codes), 512):
-            out += nearest_cells(similarities(codes.slice(lo, 512), shared.value, universe), replicas, 1 - threshold)
+            part = codes.slice(lo, 512)
+            cells, whole = nearest_cells(similarities(part, pivots, universe), replicas, 1 - threshold)
+            rest = np.flatnonzero(~whole)
+            if len(rest):
+                for i, more in zip(rest, segments.cells(part.take(pa.array(rest)))):
+                    cells[i] = np.concatenate([cells[i] * 4, more])  # a cell's two lowest bits are free
+            out += [c if i else c * 4 for c, i in zip(cells, ~whole)]
         return out
 
-    rule = S.Rule("jaccard", threshold)
     near = checkpointed(S.sketch_pairs(S.map_sketches(distinct, route, universe).persist(), rule, block_rows=block_rows))
     return checkpointed(S.verified(near, distinct, rule, universe)), S.copy_rows(encoded, distinct)
 

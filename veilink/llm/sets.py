@@ -251,30 +251,73 @@ def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: in
     return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("o", "na", "nb")])
 
 
-def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768) -> DataFrame:
+def spread_out(sketched: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
+    """As ``placed``, for cells that are any number of 64-bit values: only cells of over ``block_rows`` records come to the driver.
+
+    Bit 0 of ``place`` is the side, bit 1 says that the group compares two blocks, the rest is a hash. Groups whose hashes collide are
+    compared as one, which loses nothing.
+    """
+    cells = sketched.select(F.explode("cells").alias("cell"))
+    bucket = F.pmod("cell", F.lit(1 << 17))
+    counts = cells.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).persist()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    warm = counts.where(F.col("n") > block_rows).select("bucket")
+    hot = cells.withColumn("bucket", bucket).join(F.broadcast(warm), "bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("cell", F.ceil(F.col("n") / block_rows).alias("g"))
+    hot_rows = hot.collect()  # fewer than copies / block_rows
+    counts.unpersist()
+    few = sketched.sparkSession.createDataFrame([tuple(r) for r in hot_rows], "cell bigint, g bigint")
+    copies = sketched.select(*columns, F.explode("cells").alias("cell"))
+    copies = copies.join(F.broadcast(few), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))) if hot_rows else copies.withColumn("g", F.lit(1))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    group = F.when(F.col("g") == 1, F.col("cell")).otherwise(F.xxhash64("cell", low, high))
+    place = group.bitwiseAND(F.lit(-4)) + F.when(low == high, 0).when(F.col("block") > F.col("other"), 3).otherwise(2)
+    return (
+        copies.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g"))).select(*columns, "cell", "g", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+        .select(place.alias("place"), *columns)
+        .repartition(max(shuffle_width(sketched.sparkSession), -(-total // 150_000)), F.shiftright("place", 1))
+    )
+
+
+def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, small: int = 48) -> DataFrame:
     """Pairs ``a < b`` of (``rep``, ``size``, ``f0``, ``f1``, ``cells``) that share a cell and whose folds don't rule them out, each once.
 
     Only a 128-bit fold and the size travel to the cells. The fold never differs in more bits than the sets do in elements, so no pair
-    that holds the rule is lost here; nearly all others are.
+    that holds the rule is lost here; nearly all others are. Groups of up to ``small`` records are compared all at once, one distance in the
+    order after the other; larger ones tile by tile.
     """
-    rows = placed(sketched, ["rep", "size", "f0", "f1"], block_rows)
-    if rows is None:
-        return sketched.sparkSession.createDataFrame([], "a bigint, b bigint")
+    rows = spread_out(sketched, ["rep", "size", "f0", "f1"], block_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rep, place, size, f0, f1 = (whole_column(held, c).to_numpy() for c in ("rep", "place", "size", "f0", "f1"))
-        folds, size = np.stack([f0, f1], axis=1).view(np.uint64), size.astype(np.int64)
-        out = []
-        for at, left, right in groups_of(place):
-            mine, sizes = np.ascontiguousarray(folds[at]), size[at]
-            for i, j in near_pairs(mine[:, :1], sizes, left, right, rule, None):
-                gap = np.bitwise_count(mine[i] ^ mine[j]).sum(1)
-                keep = gap <= rule.most_apart(sizes[i].astype(float), sizes[j].astype(float))
-                a, b = rep[at[i[keep]]], rep[at[j[keep]]]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        order = np.argsort(place, kind="stable")
+        rep, place, size = rep[order], place[order], size[order].astype(np.int64)
+        folds, out = np.stack([f0[order], f1[order]], axis=1).view(np.uint64), []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            near = np.bitwise_count(folds[i] ^ folds[j]).sum(1) <= rule.most_apart(size[i].astype(float), size[j].astype(float)) + 1e-9
+            a, b = rep[i[near]], rep[j[near]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+
+        key = place >> 1
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lengths = np.diff(np.append(new, len(key)))
+        few = (lengths <= small) & (key[new] & 1 == 0)
+        left = np.repeat(np.where(few, lengths, 0), lengths) - (np.arange(len(key)) - np.repeat(new, lengths)) - 1  # records that follow in the group
+        at = np.flatnonzero(left > 0)
+        for step in range(1, small):
+            at = at[left[at] >= step]
+            if not len(at):
+                break
+            keep(at, at + step)
+        for s, n in zip(new[~few], lengths[~few]):
+            at = np.arange(s, s + n)
+            within, second = key[s] & 1 == 0, (place[at] & 1).astype(bool)
+            mine = np.ascontiguousarray(folds[at])
+            for i, j in near_pairs(mine[:, :1], size[at], at - s if within else np.flatnonzero(~second), None if within else np.flatnonzero(second), rule, None):
+                keep(at[i], at[j])
         if out:
             flat = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["a", "b"])
@@ -282,6 +325,65 @@ def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768) ->
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+class Segments:
+    """Cells in which every two sets of a Jaccard rule meet, without exception.
+
+    The positions are dealt to ``m`` segments. Two sets that differ in at most ``d`` elements agree on all of at least ``m - d`` segments, so if each
+    orders its segments' contents by one order of all contents, the first they share is among the first ``d + 1`` of both. The order puts the rarest first.
+    ``m`` and ``d`` follow the sizes: there is a band for each doubling of the size, and a pair meets in the band of its larger set.
+    """
+
+    def __init__(self, rule: Rule, sample: list[bytes], largest: int, universe: int):
+        if rule.kind != "jaccard":
+            raise ValueError("segments are for jaccard")
+        rows, pos, _ = decode(pa.array(sample, pa.binary()), universe)
+        p = (np.bincount(pos, minlength=universe) + 0.5) / (len(sample) + 1)
+        self.rule, self.universe, self.bands = rule, universe, []
+        self.weight = np.round(1000 * np.log(p / (1 - p))).astype(np.int64)
+        by_count = np.argsort(np.argsort(-p, kind="stable"), kind="stable")
+        high = largest
+        while high >= 1:
+            low = high // 2 + 1
+            apart = self.apart(np.array([high]), high)[0]
+            m = int(apart + 2 + apart // 16)
+            self.bands.append((low, high, m, by_count % m))
+            high = low - 1
+        r = np.random.default_rng(0)
+        self.marks = r.integers(0, 2**63, universe, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salts = r.integers(0, 2**63, (len(self.bands), universe + 2), dtype=np.uint64)
+
+    def apart(self, n: np.ndarray, high: int) -> np.ndarray:
+        """Most elements in which a set of size ``n`` and a partner of at most ``high`` may differ."""
+        return np.floor(self.rule.most_apart(n.astype(float), np.minimum(self.rule.widest(n), high)) + 1e-9).astype(np.int64)
+
+    def cells(self, codes: pa.BinaryArray) -> list[np.ndarray]:
+        rows, pos, n = decode(codes, self.universe)
+        found: list[list[np.ndarray]] = [[] for _ in range(len(codes))]
+        for k, (low, high, m, segment) in enumerate(self.bands):
+            mine = np.flatnonzero((n <= high) & (self.rule.widest(n) >= low))
+            if not len(mine):
+                continue
+            slot = np.full(len(codes), -1)
+            slot[mine] = np.arange(len(mine))
+            inside = slot[rows] >= 0
+            at = slot[rows[inside]] * m + segment[pos[inside]]
+            cost, content = np.zeros(len(mine) * m, np.int64), np.zeros(len(mine) * m, np.uint64)
+            np.add.at(cost, at, self.weight[pos[inside]])
+            np.add.at(content, at, self.marks[pos[inside]])
+            content = _mixed(content.reshape(-1, m) ^ self.salts[k, :m])
+            order = np.argsort(cost.reshape(-1, m) * 4096 + np.arange(m), axis=1)
+            first = np.take_along_axis(content, order, 1).view(np.int64)
+            for i, row, take in zip(mine, first, self.apart(n[mine], high) + 1):
+                found[i].append(row[:take])
+        return [np.concatenate(x) if x else np.empty(0, np.int64) for x in found]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def verified(pairs: DataFrame, distinct: DataFrame, rule: Rule, universe: int) -> DataFrame:
     """Of pairs (``a``, ``b``) those that hold the rule, with ``o``, ``na`` and ``nb``. Only codes of sets that are in a pair travel."""
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().persist()
@@ -331,9 +433,9 @@ def sample_codes(distinct: DataFrame, n: int, seed: int = 0) -> list[bytes]:
     return [bytes(r[0]) for r in distinct.select("code").orderBy(F.xxhash64("code", F.lit(seed)), "code").limit(n).collect()]
 
 
-def _lists(cells: list[np.ndarray]) -> pa.ListArray:
+def _lists(cells: list[np.ndarray], kind: type = np.int32) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in cells])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cells).astype(np.int32) if cells else np.empty(0, np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cells).astype(kind) if cells else np.empty(0, kind)))
 
 
 def map_codes(distinct: DataFrame, route: Callable[[pa.BinaryArray], list[np.ndarray]]) -> DataFrame:
@@ -353,6 +455,6 @@ def map_sketches(distinct: DataFrame, route: Callable[[pa.BinaryArray], list[np.
         for b in batches:
             words, sizes = bit_words(b.column(1), universe)
             folds = folded(words, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), pa.array(folds[:, 0].copy()), pa.array(folds[:, 1].copy()), _lists(route(b.column(1)))], ["rep", "size", "f0", "f1", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), pa.array(folds[:, 0].copy()), pa.array(folds[:, 1].copy()), _lists(route(b.column(1)), np.int64)], ["rep", "size", "f0", "f1", "cells"])
 
-    return distinct.select("rep", "code").mapInArrow(run, "rep bigint, size int, f0 bigint, f1 bigint, cells array<int>")
+    return distinct.select("rep", "code").mapInArrow(run, "rep bigint, size int, f0 bigint, f1 bigint, cells array<bigint>")
