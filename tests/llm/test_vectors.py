@@ -120,6 +120,17 @@ def test_exactly_at_the_threshold(spark):
     assert got == {(1, 2), (1, 3)}  # 7/10 and 6/8
 
 
+@pytest.mark.parametrize("kind,threshold", [("jaccard", 0.7), ("cosine", 0.6)])
+def test_subsets_at_the_boundary_of_two_blocks(kind, threshold):
+    rule = S.Rule(kind, threshold)
+    for n in range(5, 96):
+        small = next(k for k in range(1, n + 1) if rule.holds(np.array([k]), np.array([k]), np.array([n]))[0])
+        _, codes = S.encode(pa.array([list(range(n)), list(range(small))], pa.list_(pa.int32())), 1024)
+        words, sizes = S.bit_words(codes, 1024)
+        for left, right in [([0], [1]), ([1], [0])]:
+            assert S.compare_block(words, sizes, np.array(left), np.array(right), rule, 4, None).shape[1] == 1, (n, small)
+
+
 def test_links(table):
     df, sets = table
     pairs = brute_jaccard(sets, 0.7)

@@ -124,7 +124,15 @@ class Rule:
 
     def widest(self, n: np.ndarray) -> np.ndarray:
         """Largest size that a partner of a set of size ``n`` may have."""
-        return np.floor(n / (self.threshold if self.kind == "jaccard" else self.threshold**2) + 1e-9)
+        return np.floor(n / (self.threshold if self.kind == "jaccard" else self.threshold**2) + self.slack(n))
+
+    def narrowest(self, n: np.ndarray) -> np.ndarray:
+        """Smallest size that a partner of a set of size ``n`` may have."""
+        return np.ceil(n * (self.threshold if self.kind == "jaccard" else self.threshold**2) - self.slack(n))
+
+    def slack(self, n: np.ndarray) -> np.ndarray:
+        """What rounding adds to a size: a cosine counts from six decimals on."""
+        return 1e-9 + (n * 2e-6 / self.threshold**3 if self.kind == "cosine" else 0)
 
 
 def fold_limit(apart: float, width: int, sigmas: float | None) -> float:
@@ -153,8 +161,7 @@ def near_pairs(first: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np
     for lo in range(0, len(left), rows):
         hi = min(lo + rows, len(left))
         rows_of = [first[left[lo:hi], k][:, None] for k in range(words)]
-        least = n_left[lo] ** 2 / rule.widest(n_left[lo : lo + 1])[0] if not within else 0
-        start = lo if within else int(np.searchsorted(n_right, least - 1e-6))
+        start = lo if within else int(np.searchsorted(n_right, rule.narrowest(n_left[lo : lo + 1])[0]))
         end = int(np.searchsorted(n_right, rule.widest(n_left[hi - 1 : hi])[0], "right"))
         for c in range(start, end, columns):
             d = min(c + columns, end)
