@@ -21,22 +21,32 @@ LEVELS = {"name": 7, "born": 5, "sex": 3, "instrument": 3, "county": 3}
 PATTERN = ", ".join(f"g_{k} int" for k in LEVELS)
 
 
-def blocking_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(``id``, ``key``, ``finer``): keys of all passes, and what a key that is too common is split by."""
+def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: bool) -> Iterator[pd.DataFrame]:
+    """(``id``, ``key``, ``finer``): keys of all passes, and what a key that is too common is split by.
+
+    Other parts count by their own beginnings and those of their full forms. A record of one part and no initial meets all of the other side that share the
+    part's beginning and the year: ``u0`` keys are of such records on the left, ``u1`` keys of those on the right.
+    """
     for b in batches:
         out = []
         for i, toks, initials, sex, y, m, d, inst, cty in b[["id", "toks", "initials", "sex", "y", "m", "d", "instrument", "county"]].itertuples(index=False, name=None):
             y, m, d = date_or_none(y, m, d)
             sounds = sorted({sound(t) for t in toks})
+            full = {sound(t): {sound(t), *(sound(f) for f in nicknames.full.get(t, ()))} for t in toks}
             keys = set()
             if None not in (y, m, d):
                 keys.add(f"d{y}.{min(m, d)}.{max(m, d)}")
                 keys.update(f"e{p}.{m}.{d}" for p in sounds)
+            sides = (0, 1) if len(sounds) == 1 and not len(initials) else (1,) if left else (0,)
             for p in sounds:
-                keys.update(f"n{p}.{q[:4]}" for q in sounds if q != p)
+                others = {x for q in sounds if q != p for x in full[q]}
+                heads = {x[0] for x in (*others, *initials)}
+                keys.update(f"n{p}.{x[:4]}" for x in others)
                 if y is not None:
-                    keys.update(f"y{p}.{y}.{q[0]}" for q in (*sounds, *initials) if q != p)
+                    keys.update(f"y{p}.{y}.{h}" for h in heads)
                     keys.add(f"z{p[:4]}.{y}.{m}")
+                    keys.update(f"z{p[:4]}.{y}.{h}" for h in heads)
+                    keys.update(f"u{k}{x[:4]}.{y}" for k in sides for x in full[p])
             if cty:
                 keys.update(f"c{p}.{cty[:3]}.{inst}" for p in sounds)
             finer = [s[:3] for s in sounds] or [""]
@@ -44,11 +54,23 @@ def blocking_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "key", "finer"])
 
 
-def candidates(left: DataFrame, right: DataFrame, hot_pairs: int = 400_000) -> DataFrame:
+def read_nicknames(short_names: DataFrame | None) -> list[tuple[str, str]]:
+    short = short_names.select("full_form", "short_form").dropna().limit(100_001).collect() if short_names is not None else []
+    if len(short) > 100_000:
+        raise ValueError("the table of short forms has over 100,000 rows")
+    return [(r[0], r[1]) for r in short]
+
+
+def candidates(left: DataFrame, right: DataFrame, hot_pairs: int = 400_000, nicknames: DataFrame | None = None) -> DataFrame:
     """Distinct (``id``, ``other``) that share a key. A key with over ``hot_pairs`` pairs is split by the beginnings of the names'
     parts, so that a date or name that many share brings only those together whose names begin alike."""
     schema = "id bigint, key string, finer array<string>"
-    kl, kr = (t.mapInPandas(blocking_keys, schema).select("id", F.xxhash64("key").alias("key"), "finer").persist() for t in (left, right))
+    shared = left.sparkSession.sparkContext.broadcast(read_nicknames(nicknames))
+
+    def keyed(is_left: bool):
+        return lambda batches: blocking_keys(batches, Nicknames(shared.value), is_left)
+
+    kl, kr = (t.mapInPandas(keyed(t is left), schema).select("id", F.xxhash64("key").alias("key"), "finer").persist() for t in (left, right))
     sizes = kl.groupBy("key").agg(F.count("*").alias("nl")).join(kr.groupBy("key").agg(F.count("*").alias("nr")), "key")
     hot = sizes.where(F.col("nl") * F.col("nr") > hot_pairs).select("key").persist()
     n_hot = hot.count()
@@ -65,10 +87,7 @@ def candidates(left: DataFrame, right: DataFrame, hot_pairs: int = 400_000) -> D
 
 def patterns(pairs: DataFrame, left: DataFrame, right: DataFrame, nicknames: DataFrame | None) -> DataFrame:
     """Agreement levels of each pair of standard records."""
-    short = nicknames.select("full_form", "short_form").dropna().limit(100_001).collect() if nicknames is not None else []
-    if len(short) > 100_000:
-        raise ValueError("the table of short forms has over 100,000 rows")
-    shared = pairs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in short])
+    shared = pairs.sparkSession.sparkContext.broadcast(read_nicknames(nicknames))
     fields = ["toks", "initials", "sex", "y", "m", "d", "instrument", "county", "namesakes"]
     a = left.select("id", F.struct(*fields).alias("a"))
     b = right.select(F.col("id").alias("other"), F.struct(*fields).alias("b"))
@@ -142,6 +161,6 @@ def link_people(df1: DataFrame, df2: DataFrame, short_names: DataFrame | None =
     """
     left = checkpointed(with_namesakes(standard_people(df1, "id", ("first_name", "last_name"), "gender", "date_of_birth", "instrument", "county")))
     right = checkpointed(with_namesakes(standard_people(df2, "personid", ("name",), "sex", "birth_date", "main_instrument", "county")))
-    found = checkpointed(patterns(candidates(left, right), left, right, short_names))
+    found = checkpointed(patterns(candidates(left, right, nicknames=short_names), left, right, short_names))
     sure = posterior(found).where(F.col("confidence") >= least)
     return sure.select(F.col("id").cast("int").alias("id"), F.col("other").cast("int").alias("personid"), F.round("confidence", 6).alias("confidence"))
