@@ -22,7 +22,7 @@ PATTERN = ", ".join(f"g_{k} int" for k in LEVELS)
 
 
 def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: bool) -> Iterator[pd.DataFrame]:
-    """(``id``, ``key``, ``finer``): keys of all passes, and what a key that is too common is split by.
+    """(``id``, ``key``): keys of all passes.
 
     Other parts count by their own beginnings and those of their full forms. A record of one part and no initial meets all of the other side that share the
     part's beginning and the year: ``u0`` keys are of such records on the left, ``u1`` keys of those on the right.
@@ -49,9 +49,8 @@ def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: b
                     keys.update(f"u{k}{x[:4]}.{y}" for k in sides for x in full[p])
             if cty:
                 keys.update(f"c{p}.{cty[:3]}.{inst}" for p in sounds)
-            finer = [s[:3] for s in sounds] or [""]
-            out += [(i, k, finer) for k in keys]
-        yield pd.DataFrame(out, columns=["id", "key", "finer"])
+            out += [(i, k) for k in keys]
+        yield pd.DataFrame(out, columns=["id", "key"])
 
 
 def read_nicknames(short_names: DataFrame | None) -> list[tuple[str, str]]:
@@ -62,26 +61,28 @@ def read_nicknames(short_names: DataFrame | None) -> list[tuple[str, str]]:
 
 
 def candidates(left: DataFrame, right: DataFrame, hot_pairs: int = 400_000, nicknames: DataFrame | None = None) -> DataFrame:
-    """Distinct (``id``, ``other``) that share a key. A key with over ``hot_pairs`` pairs is split by the beginnings of the names'
-    parts, so that a date or name that many share brings only those together whose names begin alike."""
-    schema = "id bigint, key string, finer array<string>"
+    """Distinct (``id``, ``other``) that share a key. A key with over ``hot_pairs`` pairs is cut into blocks of both sides, and each pair of
+    blocks is joined by itself: none is lost, however many share a date or name."""
+    schema = "id bigint, key string"
     shared = left.sparkSession.sparkContext.broadcast(read_nicknames(nicknames))
 
     def keyed(is_left: bool):
         return lambda batches: blocking_keys(batches, Nicknames(shared.value), is_left)
 
-    kl, kr = (t.mapInPandas(keyed(t is left), schema).select("id", F.xxhash64("key").alias("key"), "finer").persist() for t in (left, right))
+    kl, kr = (t.mapInPandas(keyed(t is left), schema).select("id", F.xxhash64("key").alias("key")).persist() for t in (left, right))
     sizes = kl.groupBy("key").agg(F.count("*").alias("nl")).join(kr.groupBy("key").agg(F.count("*").alias("nr")), "key")
-    hot = sizes.where(F.col("nl") * F.col("nr") > hot_pairs).select("key").persist()
+    blocks = F.ceil(F.sqrt(F.col("nl") * F.col("nr") / hot_pairs)).cast("int")
+    hot = sizes.where(F.col("nl") * F.col("nr") > hot_pairs).select("key", blocks.alias("g")).persist()
     n_hot = hot.count()
     if n_hot:
         few = F.broadcast(hot) if n_hot < 100_000 else hot
 
-        def split(k: DataFrame) -> DataFrame:
+        def split(k: DataFrame, mine: str, other: str) -> DataFrame:
             cold = k.join(few, "key", "left_anti").select("id", "key")
-            return cold.unionByName(k.join(few, "key", "left_semi").select("id", F.explode("finer").alias("f"), "key").select("id", F.xxhash64("key", "f").alias("key")))
+            cut = k.join(few, "key").withColumn(mine, F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+            return cold.unionByName(cut.select("id", F.xxhash64("key", "l", "r").alias("key")))
 
-        kl, kr = split(kl), split(kr)
+        kl, kr = split(kl, "l", "r"), split(kr, "r", "l")
     return kl.select("id", "key").join(kr.select(F.col("id").alias("other"), "key"), "key").select("id", "other").distinct()
 
 
