@@ -155,6 +155,16 @@ def test_nearest_rows(table):
     assert len(routed & want) >= 0.9 * len(want)
 
 
+def test_dense_sets_that_share_a_part_are_compared_exactly(spark):
+    r, rows = random.Random(5), []
+    for _ in range(60):
+        common = r.sample(range(1024), 240)
+        rest = r.sample(sorted(set(range(1024)) - set(common)), 240)
+        rows += [(len(rows), common + rest[:120], None, "", 0), (len(rows) + 1, common + rest[120:], None, "", 0)]
+    got = {tuple(x)[:2] for x in neighbours.nearest_rows(spark.createDataFrame(rows, SCHEMA), probes=16).collect()}
+    assert {(i, i + 1) for i in range(0, 120, 2)} <= got == brute_nearest(sets_of(rows), 5, 0.6)
+
+
 def test_ties_all_count(spark):
     base = list(range(20))
     rows = [(0, base, None, "", 0)] + [(i, base[:-1] + [100 + i], None, "", 0) for i in range(1, 9)]

@@ -163,7 +163,7 @@ def widened(pairs: DataFrame, distinct: DataFrame, rule: S.Rule, universe: int,
 
 def nearest_rows(
     records: DataFrame, *, key: str = "row_id", column: str = "bf_indices", a: str = "row_a", b: str = "row_b", k: int = 5, least: float = 0.6,
-    universe: int = 1024, probes: int = 4, sigmas: float = 2.5, block_rows: int = 32768,
+    universe: int = 1024, probes: int = 7, sigmas: float | None = None, block_rows: int = 32768,
 ) -> DataFrame:
     """Pairs of rows (``a`` < ``b``) with ``similarity`` (cosine, six decimals, at least ``least``) where one is among the ``k`` most
     similar of the other; all rows that tie with the k-th count. Each pair once.
