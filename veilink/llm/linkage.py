@@ -1,8 +1,8 @@
 """Matching entities of two tables that share no key: probabilistic record linkage.
 
-Several passes of blocking bring records together that agree on part of their attributes; each pair becomes a pattern of
-agreement levels; expectation-maximisation over the counts of patterns gives each level's probability among matches and
-among others; the posterior of a pair's pattern is its confidence.
+Several passes of blocking bring records together that agree on part of their attributes and whose dates of birth don't exclude each
+other; each pair becomes a pattern of agreement levels; expectation-maximisation over the counts of patterns gives each level's probability
+among matches and among others; the posterior of a pair's pattern is its confidence.
 """
 
 from __future__ import annotations
@@ -11,46 +11,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .people import Nicknames, county_level, date_level, date_or_none, name_level, plain_level, sound, standard_people, with_namesakes
+from .people import Nicknames, born_level, born_number, county_level, date_or_none, hashed, key_pairs, name_levels, standard_people, with_namesakes
 
 LEVELS = {"name": 7, "born": 5, "sex": 3, "instrument": 3, "county": 3}
 PATTERN = ", ".join(f"g_{k} int" for k in LEVELS)
 
 
 def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: bool) -> Iterator[pd.DataFrame]:
-    """(``id``, ``key``): keys of all passes.
+    """(``id``, ``key``, ``born``): keys of all passes, as hashes.
 
-    Other parts count by their own beginnings and those of their full forms. A record of one part and no initial meets all of the other side that share the
-    part's beginning and the year: ``u0`` keys are of such records on the left, ``u1`` keys of those on the right.
+    Name parts count by the beginnings of their sounds and of those of their full forms. Every key carries two parts of a date, or else only pairs
+    meet in it of which one lacks what a date would tell: ``0`` keys are of such records on the left and of all on the right, ``1`` keys of the other way
+    round. So a pair whose dates don't exclude each other meets if it agrees on a full date, or on a name part with two parts of a date, with
+    the year where there is no more, and with another name part or the place where there is no date.
     """
     for b in batches:
-        out = []
-        for i, toks, initials, sex, y, m, d, inst, cty in b[["id", "toks", "initials", "sex", "y", "m", "d", "instrument", "county"]].itertuples(index=False, name=None):
-            y, m, d = date_or_none(y, m, d)
-            sounds = sorted({sound(t) for t in toks})
-            full = {sound(t): {sound(t), *(sound(f) for f in nicknames.full.get(t, ()))} for t in toks}
-            keys = set()
-            if None not in (y, m, d):
-                keys.add(f"d{y}.{min(m, d)}.{max(m, d)}")
-                keys.update(f"e{p}.{m}.{d}" for p in sounds)
-            sides = (0, 1) if len(sounds) == 1 and not len(initials) else (1,) if left else (0,)
-            for p in sounds:
-                others = {x for q in sounds if q != p for x in full[q]}
-                heads = {x[0] for x in (*others, *initials)}
-                keys.update(f"n{p}.{x[:4]}" for x in others)
-                if y is not None:
-                    keys.update(f"y{p}.{y}.{h}" for h in heads)
-                    keys.add(f"z{p[:4]}.{y}.{m}")
-                    keys.update(f"z{p[:4]}.{y}.{h}" for h in heads)
-                    keys.update(f"u{k}{x[:4]}.{y}" for k in sides for x in full[p])
-            if cty:
-                keys.update(f"c{p}.{cty[:3]}.{inst}" for p in sounds)
-            out += [(i, k) for k in keys]
-        yield pd.DataFrame(out, columns=["id", "key"])
+        for lo in range(0, len(b), 2000):  # bounds the keys held at once
+            ids, keys, dates = [], [], []
+            for i, toks, initials, y, m, d, inst, cty in b[["id", "toks", "initials", "y", "m", "d", "instrument", "county"]].iloc[lo : lo + 2000].itertuples(index=False, name=None):
+                y, m, d = date_or_none(y, m, d)
+                canon = {t: nicknames.canonical(t) for t in toks}
+                mine, open_ = set(), []  # keys of all pairs; keys of pairs with an open record, and whether this one is
+                if None not in (y, m, d):
+                    mine.add(f"d{y}.{min(m, d)}.{max(m, d)}")
+                for t in toks:
+                    heads = {x[:4] for x in canon[t]}
+                    if None not in (y, m):
+                        mine.update(f"a{x}.{y}.{m}" for x in heads)
+                    if None not in (y, m, d):
+                        mine.update(f"{kind}{x}.{p}.{q}" for x in heads for kind, p, q in (("b", y, d), ("c", m, d)))
+                    if y is not None:
+                        open_ += [(f"y{x}.{y}", m is None) for x in heads]
+                    others = {x[:4] for u in toks if u != t for x in canon[u]}
+                    open_ += [(f"n{x}.{z}", y is None) for x in canon[t] for z in others]
+                    if cty:
+                        open_ += [(f"p{x}.{cty[:3]}.{inst}", y is None) for x in canon[t]]
+                for k, lacks in open_:
+                    mine.update(f"{side}{k}" for side in ((("0",) if lacks else ("1",)) if left else (("0", "1") if lacks else ("0",))))
+                ids += [i] * len(mine)
+                keys += [hashed(k) for k in mine]
+                dates += [(y or 0) * 10000 + (m or 0) * 100 + (d or 0)] * len(mine)
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "key": np.array(keys, np.int64), "born": np.array(dates, np.int32)})
 
 
 def read_nicknames(short_names: DataFrame | None) -> list[tuple[str, str]]:
@@ -61,81 +67,85 @@ def read_nicknames(short_names: DataFrame | None) -> list[tuple[str, str]]:
 
 
 def candidates(left: DataFrame, right: DataFrame, hot_pairs: int = 400_000, nicknames: DataFrame | None = None) -> DataFrame:
-    """Distinct (``id``, ``other``) that share a key. A key with over ``hot_pairs`` pairs is cut into blocks of both sides, and each pair of
-    blocks is joined by itself: none is lost, however many share a date or name."""
-    schema = "id bigint, key string"
+    """Distinct (``id``, ``other``) of standard records that share a key and whose dates of birth don't exclude each other. Keys with over
+    ``hot_pairs`` pairs are joined in blocks; none is lost, however many share a date or name."""
     shared = left.sparkSession.sparkContext.broadcast(read_nicknames(nicknames))
 
     def keyed(is_left: bool):
         return lambda batches: blocking_keys(batches, Nicknames(shared.value), is_left)
 
-    kl, kr = (t.mapInPandas(keyed(t is left), schema).select("id", F.xxhash64("key").alias("key")).persist() for t in (left, right))
-    sizes = kl.groupBy("key").agg(F.count("*").alias("nl")).join(kr.groupBy("key").agg(F.count("*").alias("nr")), "key")
-    blocks = F.ceil(F.sqrt(F.col("nl") * F.col("nr") / hot_pairs)).cast("int")
-    hot = sizes.where(F.col("nl") * F.col("nr") > hot_pairs).select("key", blocks.alias("g")).persist()
-    n_hot = hot.count()
-    if n_hot:
-        few = F.broadcast(hot) if n_hot < 100_000 else hot
+    kl, kr = (checkpointed(t.mapInPandas(keyed(t is left), "id bigint, key bigint, born int")) for t in (left, right))
+    return key_pairs(kl, kr, hot_pairs, within=False)
 
-        def split(k: DataFrame, mine: str, other: str) -> DataFrame:
-            cold = k.join(few, "key", "left_anti").select("id", "key")
-            cut = k.join(few, "key").withColumn(mine, F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            return cold.unionByName(cut.select("id", F.xxhash64("key", "l", "r").alias("key")))
 
-        kl, kr = split(kl, "l", "r"), split(kr, "r", "l")
-    return kl.select("id", "key").join(kr.select(F.col("id").alias("other"), "key"), "key").select("id", "other").distinct()
+def described(people: DataFrame, key: str, side: str) -> DataFrame:
+    """What a comparison needs of standard records, under names that end in ``side``."""
+    name = F.concat(F.array_join("toks", " "), F.lit("|"), F.array_join("initials", " "))
+    born = born_number(F.col("y"), F.col("m"), F.col("d"))
+    return people.select(F.col("id").alias(key), *[c.alias(f"{n}_{side}") for n, c in (("name", name), ("born", born))], *[F.col(c).alias(f"{c}_{side}") for c in ("sex", "instrument", "county", "namesakes")])
+
+
+def _plain_level(name: str) -> Column:
+    a, b = (F.nullif(F.col(f"{name}_{side}"), F.lit("")) for side in "ab")
+    return F.when(a.isNull() | b.isNull(), 1).when(a == b, 2).otherwise(0)
 
 
 def patterns(pairs: DataFrame, left: DataFrame, right: DataFrame, nicknames: DataFrame | None) -> DataFrame:
-    """Agreement levels of each pair of standard records."""
-    shared = pairs.sparkSession.sparkContext.broadcast(read_nicknames(nicknames))
-    fields = ["toks", "initials", "sex", "y", "m", "d", "instrument", "county", "namesakes"]
-    a = left.select("id", F.struct(*fields).alias("a"))
-    b = right.select(F.col("id").alias("other"), F.struct(*fields).alias("b"))
+    """Agreement levels of each pair (``id``, ``other``, any more columns) of standard records; ``namesakes_a`` and ``namesakes_b`` besides.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Dates, sexes and instruments are compared by built-in functions; names and counties in batches, each pair of different values once.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(read_nicknames(nicknames))
+    joined = pairs.join(described(left, "id", "a"), "id").join(described(right, "other", "b"), "other")
+    rows = joined.select(
+        *pairs.columns, "namesakes_a", "namesakes_b", born_level(F.col("born_a"), F.col("born_b")).alias("g_born"), _plain_level("sex").alias("g_sex"), _plain_level("instrument").alias("g_instrument"),
+        "name_a", "name_b", "county_a", "county_b",
+    )
+    kept = rows.columns[:-4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nick = Nicknames(shared.value)
-        for p in batches:
-            out = []
-            for i, j, x, z in p[["id", "other", "a", "b"]].itertuples(index=False, name=None):
-                level, _ = name_level(list(x["toks"]), list(x["initials"]), list(z["toks"]), list(z["initials"]), nick)
-                level += level == 5 and min(x["namesakes"], z["namesakes"]) <= 2  # a rare name
-                born = date_level(date_or_none(x["y"], x["m"], x["d"]), date_or_none(z["y"], z["m"], z["d"]))
-                out.append((i, j, level, born, plain_level(x["sex"], z["sex"]), plain_level(x["instrument"], z["instrument"]), county_level(x["county"], z["county"])))
-            yield pd.DataFrame(out, columns=["id", "other", *[f"g_{k}" for k in LEVELS]])
+        for b in batches:
+            na, nb, ca, cb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name_a", "name_b", "county_a", "county_b"))
+            level = name_levels(na, nb, nick) if b.num_rows else np.empty(0, np.int64)
+            rare = np.minimum(*(b.column(c).to_numpy() for c in ("namesakes_a", "namesakes_b"))) <= 2
+            known: dict = {}
+            county = [known[k] if (k := (x, z)) in known else known.setdefault(k, county_level(x, z)) for x, z in zip(ca, cb)]
+            made = [pa.array((level + ((level == 5) & rare)).astype(np.int32)), pa.array(county, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], [*kept, "g_name", "g_county"])
 
-    joined = pairs.join(a, "id").join(b, "other").select("id", "other", "a", "b")
-    return joined.mapInPandas(run, f"id bigint, other bigint, {PATTERN}")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "g_name int", "g_county int"]))
 
 
 def fit(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
     """``counts`` (``g_*`` and ``n``) with ``posterior``, by expectation-maximisation of a two-class model.
 
-    It starts from pairs whose names and dates agree as matches. A level that says nothing (missing) has the same probability in both classes.
+    It starts from pairs whose names and dates agree as matches. A level that says nothing (missing) has the same probability in both classes. Two
+    constraints on the parameters stand for what the classes mean: names that conflict, and dates that exclude each other, have next to no
+    probability among matches (relatives share all else, and namesakes the name).
     """
     g = counts[[f"g_{k}" for k in LEVELS]].to_numpy()
     n = counts["n"].to_numpy(float)
     name, born = g[:, 0], g[:, 1]
     # names and dates depend on each other (namesakes, relatives): one joint variable
-    variables = [(name * LEVELS["born"] + born, LEVELS["name"] * LEVELS["born"], np.ones(len(n), bool))]
-    variables += [(g[:, c], LEVELS[k], g[:, c] != 1) for c, k in enumerate(LEVELS) if k in ("sex", "instrument", "county")]
+    cells = LEVELS["name"] * LEVELS["born"]
+    never = np.isin(np.arange(cells) // LEVELS["born"], (0, 2)) | (np.arange(cells) % LEVELS["born"] == 0)
+    variables = [(name * LEVELS["born"] + born, cells, np.ones(len(n), bool), never)]
+    variables += [(g[:, c], LEVELS[k], g[:, c] != 1, np.zeros(LEVELS[k], bool)) for c, k in enumerate(LEVELS) if k in ("sex", "instrument", "county")]
     match = np.where((name >= 3) & (born >= 2), 0.9, 0.01)
     match[(name >= 4) & (born >= 3)] = 0.99
     match[(name == 6) & (born == 1)] = 0.9
-    conflict = (name == 2) | (name == 0)
-    match[conflict] = 0.001
+    match[never[variables[0][0]]] = 0.001
     for _ in range(rounds):
         share = (n * match).sum() / n.sum()
         log_odds = np.full(len(n), np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
-        for values, levels, seen in variables:
+        for values, levels, seen, barred in variables:
             m = np.bincount(values[seen], (n * match)[seen], levels) + 0.1
             u = np.bincount(values[seen], (n * (1 - match))[seen], levels) + 0.1
-            ratio = np.log(m / m.sum()) - np.log(u / u.sum())
+            ratio = np.log(np.where(barred, 1e-6, m / m.sum())) - np.log(u / u.sum())
             log_odds += np.where(seen, ratio[values], 0.0)
         new = 1 / (1 + np.exp(-np.clip(log_odds, -60, 60)))
-        # a name part that conflicts is another person, however much else agrees: relatives share the rest
-        new[conflict] = np.minimum(new[conflict], 0.01)
-        new[born == 0] = np.minimum(new[born == 0], 0.4)  # namesakes: a date that is another one altogether
         if np.abs(new - match).max() < 1e-7:
             break
         match = new
@@ -153,7 +163,6 @@ def posterior(found: DataFrame, name: str = "confidence") -> DataFrame:
     return found.join(F.broadcast(typed), keys)
 
 
-
 def link_people(df1: DataFrame, df2: DataFrame, short_names: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """(``id``, ``personid``, ``confidence``) of pairs with a confidence of at least ``least``, each once; all pairs count where a person has several ids.
 

@@ -54,6 +54,8 @@ def variants() -> dict[str, dict[str, str]]:
 
 def visible_form(value: str) -> str:
     """``value`` without what can't be seen: invisible characters gone, one kind of space, hyphen and apostrophe, composed."""
+    if value.isascii() and value.isprintable():
+        return value.strip(" ")
     kept = []
     for ch in unicodedata.normalize("NFKC", "".join("-" if c in HYPHENS[:-1] else c for c in value)):
         if ord(ch) in INVISIBLE_MARKS or unicodedata.category(ch) in ("Cf", "Cc") and not ch.isspace():

@@ -10,10 +10,14 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shuffle_width
+
 from .lookalike import forms_of, visible_form
 
 # Titles and suffixes (legal forms of a person's name), particles of surnames, letters that don't decompose, synonyms of instruments,
@@ -46,16 +50,17 @@ def sound(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", t)
 
 
+@lru_cache(maxsize=100_000)
+def field_parts(field: str) -> tuple[str, ...]:
+    """Plain name parts of one field, without particles, legal forms and numbers."""
+    parts = (plain(re.sub(r"[^\w']", "", raw)).replace("'", "") for raw in re.split(r"[\s.,_\-/]+", visible_form(field)))
+    return tuple(t for t in parts if t and t not in LEGAL_FORMS and t not in PARTICLES and not t.isdigit())
+
+
 def split_name(*fields: str | None) -> tuple[list[str], list[str]]:
     """Plain name tokens (surname parts apart, particles and legal forms left out) and initials, of all fields together."""
-    toks, initials = [], []
-    for field in fields:
-        for raw in re.split(r"[\s.,_\-/]+", visible_form(field or "")):
-            t = plain(re.sub(r"[^\w']", "", raw)).replace("'", "")
-            if not t or t in LEGAL_FORMS or t in PARTICLES or t.isdigit():
-                continue
-            (initials if len(t) == 1 else toks).append(t)
-    return list(dict.fromkeys(toks)), list(dict.fromkeys(initials))
+    parts = dict.fromkeys(t for field in fields if field for t in field_parts(field))
+    return [t for t in parts if len(t) > 1], [t for t in parts if len(t) == 1]
 
 
 @lru_cache(maxsize=50_000)
@@ -76,11 +81,13 @@ def read_date(text: str | None) -> tuple[int | None, int | None, int | None]:
     return y, m if m and 1 <= m <= 12 else None, d if d and 1 <= d <= 31 else None
 
 
+@lru_cache(maxsize=50_000)
 def read_instrument(text: str | None) -> str | None:
     words = visible_form(text or "").lower().split()
     return INSTRUMENTS.get(words[-1], words[-1]) if words else None
 
 
+@lru_cache(maxsize=50_000)
 def read_county(text: str | None) -> str | None:
     return re.sub(r"[^\w]|^county ", "", visible_form(text or "").lower().removeprefix("county ")) or None
 
@@ -102,7 +109,8 @@ def standard_people(people: DataFrame, key: str, names: tuple[str, ...], sex: st
             yield frame
 
     cols = [*names, sex, born, instrument, county]
-    last = people.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("id")).agg(F.max(F.struct(*[F.col(c).cast("string").alias(c) for c in cols])).alias("r"))
+    spread = people.where(F.col(key).isNotNull()).repartition(shuffle_width(people.sparkSession), F.col(key).cast("bigint"))  # the rows are few bytes but much work
+    last = spread.groupBy(F.col(key).cast("bigint").alias("id")).agg(F.max(F.struct(*[F.col(c).cast("string").alias(c) for c in cols])).alias("r"))
     return last.select("id", *[F.col(f"r.{c}") for c in cols]).mapInPandas(run, STANDARD)
 
 
@@ -128,11 +136,24 @@ class Nicknames:
 
     def __init__(self, pairs: list[tuple[str, str]]):
         self.full: dict[str, set[str]] = {}
+        self.levels: dict[tuple[str, str], int] = {}
         for full, short in pairs:
             for f in split_name(full)[0][:1]:
                 for s in split_name(short)[0][:1]:
                     self.full.setdefault(s, set()).add(f)
 
+    def canonical(self, token: str) -> set[str]:
+        """The sounds of a token and of the names that it is short for."""
+        return {sound(token), *(sound(f) for f in self.full.get(token, ()))}
+
+    def level(self, a: str, b: str) -> int:
+        """``token_level``, kept for pairs seen before."""
+        if (known := self.levels.get((a, b))) is None:
+            if len(self.levels) > 500_000:
+                self.levels.clear()
+            known = self.levels[a, b] = token_level(a, b, self)
+        return known
+
     def same(self, a: str, b: str) -> bool:
         fa, fb = self.full.get(a, ()), self.full.get(b, ())
         return b in fa or a in fb or bool(set(fa) & set(fb))
@@ -165,7 +186,7 @@ def name_level(ta, ia, tb, ib, nicknames: Nicknames) -> tuple[int, list[str]]:
     if not ta or not tb:
         return 1, []
     left, matched, levels = list(tb), [], []
-    graded = sorted(((token_level(a, b, nicknames), a, b) for a in ta for b in tb), key=lambda x: -x[0])
+    graded = sorted(((nicknames.level(a, b), a, b) for a in ta for b in tb), key=lambda x: -x[0])
     used_a: set[str] = set()
     for level, a, b in graded:
         if level and a not in used_a and b in left:
@@ -175,7 +196,7 @@ def name_level(ta, ia, tb, ib, nicknames: Nicknames) -> tuple[int, list[str]]:
             levels.append(level)
     rest_a, rest_b = [a for a in ta if a not in used_a], left
     if not matched:
-        joined = token_level("".join(ta), "".join(tb), nicknames)  # a space lost or put in
+        joined = nicknames.level("".join(ta), "".join(tb))  # a space lost or put in
         return (4, list(ta)) if joined else (0, [])
     fits_a = [a for a in rest_a if any(a.startswith(i) for i in ib)]
     fits_b = [b for b in rest_b if any(b.startswith(i) for i in ia)]
@@ -213,6 +234,116 @@ def date_level(a, b) -> int:
     return 0
 
 
+def born_number(y: Column, m: Column, d: Column) -> Column:
+    """A date as one number, year first; parts that are missing are zeros."""
+    return (F.coalesce(y, F.lit(0)) * 10000 + F.coalesce(m, F.lit(0)) * 100 + F.coalesce(d, F.lit(0))).cast("int")
+
+
+def born_level(a: Column, b: Column) -> Column:
+    """``date_level`` of two ``born_number`` columns."""
+    (ya, ma, da), (yb, mb, db) = (((F.floor(c / 10000)), F.floor(c / 100) % 100, c % 100) for c in (a, b))
+    equal = (ya == yb).cast("int") + (ma == mb).cast("int") + (da == db).cast("int")
+    partial = F.when((ya == yb) & ((ma == 0) | (mb == 0) | (ma == mb)), 2).otherwise(0)
+    whole = F.when(a == b, 4).when((equal == 2) | ((ya == yb) & (ma == db) & (da == mb)), 3).otherwise(0)
+    return F.when((ya == 0) | (yb == 0), 1).when((ma == 0) | (da == 0) | (mb == 0) | (db == 0), partial).otherwise(whole)
+
+
+def _letters(token: str) -> int:
+    """The letters of a token as a set of bits."""
+    bits = 0
+    for c in token:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+class _Tokens:
+    """Numbers of tokens that tell which pairs of them can't agree."""
+
+    def __init__(self, nicknames: Nicknames):
+        self.nicknames, self.text, self.at, self.rows = nicknames, [], {}, []
+
+    def add(self, token: str) -> int:
+        if token not in self.at:
+            heard = sound(token)
+            self.at[token] = len(self.text)
+            self.text.append(token)
+            self.rows.append((len(token), _letters(token), len(heard), _letters(heard), hash(heard), hash(token[:3]), token in self.nicknames.full))
+        return self.at[token]
+
+    def close(self) -> None:
+        columns = list(zip(*self.rows)) if self.rows else [()] * 7
+        self.size, self.heard_size = np.array(columns[0], np.int64), np.array(columns[2], np.int64)
+        self.bits, self.heard_bits = np.array(columns[1], np.uint64), np.array(columns[3], np.uint64)
+        self.heard, self.start, self.short = np.array(columns[4], np.int64), np.array(columns[5], np.int64), np.array(columns[6], bool)
+
+    def may_agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False where ``token_level`` is surely 0: one edit changes at most two letters of a token's set."""
+        n = np.minimum(self.size[a], self.size[b])
+        most = np.where(n <= 4, 1, np.where(n <= 8, 2, 3))
+        typed = (np.abs(self.size[a] - self.size[b]) <= most) & (np.bitwise_count(self.bits[a] ^ self.bits[b]) <= 2 * most)
+        spoken = (np.abs(self.heard_size[a] - self.heard_size[b]) <= most) & (np.bitwise_count(self.heard_bits[a] ^ self.heard_bits[b]) <= 2 * most)
+        return typed | spoken | (self.heard[a] == self.heard[b]) | (self.start[a] == self.start[b]) | self.short[a] | self.short[b]
+
+
+def name_levels(left: np.ndarray, right: np.ndarray, nicknames: Nicknames) -> np.ndarray:
+    """``name_level`` of many pairs of names, each written as its tokens and, behind ``|``, its initials.
+
+    Each pair of different names is compared once, and in full only if some of their tokens can agree.
+    """
+    codes, names = pd.factorize(np.concatenate([left, right]))
+    tokens = _Tokens(nicknames)
+    parts = [tuple(half.split() for half in name.split("|")) for name in names]
+    width = max((len(t) for t, _ in parts), default=0)
+    at = np.full((len(parts), width), -1)
+    for k, (toks, _) in enumerate(parts):
+        at[k, : len(toks)] = [tokens.add(t) for t in toks]
+    whole = np.array([tokens.add("".join(toks)) for toks, _ in parts], np.int64)
+    tokens.close()
+    pairs, back = np.unique(codes[: len(left)] * len(parts) + codes[len(left) :], return_inverse=True)
+    a, b = pairs // max(1, len(parts)), pairs % max(1, len(parts))
+    may = tokens.may_agree(whole[a], whole[b])
+    for i in range(width):
+        for j in range(width):
+            rows = np.flatnonzero((at[a, i] >= 0) & (at[b, j] >= 0))
+            may[rows] |= tokens.may_agree(at[a[rows], i], at[b[rows], j])
+    out = np.where((at[a, 0] < 0) | (at[b, 0] < 0), 1, 0) if width else np.ones(len(pairs), np.int64)
+    for k in np.flatnonzero(may & (out == 0)):
+        (ta, ia), (tb, ib) = parts[a[k]], parts[b[k]]
+        out[k] = name_level(ta, ia, tb, ib, nicknames)[0]
+    return out[back]
+
+
+def hashed(text: str) -> int:
+    """A 64-bit key of a text, as Spark's bigint holds it."""
+    n = xxhash.xxh3_64_intdigest(text)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def key_pairs(left: DataFrame, right: DataFrame, hot_pairs: int, within: bool) -> DataFrame:
+    """Distinct (``id``, ``other``) of rows (``id``, ``key``, ``born``) of both sides that have a key in common and dates of birth that don't exclude each other.
+
+    A key with over ``hot_pairs`` pairs is cut into blocks of both sides, and each pair of blocks is joined by itself: none is lost, however
+    many share a key. ``within``: both sides are of one table; a pair comes once, ``id`` < ``other``.
+    """
+    sizes = left.groupBy("key").agg(F.count("*").alias("nl")).join(right.groupBy("key").agg(F.count("*").alias("nr")), "key")
+    blocks = F.ceil(F.sqrt(F.col("nl") * F.col("nr") / hot_pairs)).cast("int")
+    hot = checkpointed(sizes.where(F.col("nl") * F.col("nr") > hot_pairs).select("key", blocks.alias("g")))
+    n_hot = hot.count()
+    if n_hot:
+        few = F.broadcast(hot) if n_hot < 100_000 else hot  # 12 bytes a key
+
+        def split(k: DataFrame, mine: str, other: str) -> DataFrame:
+            cold = k.join(few, "key", "left_anti").select("id", "key", "born")
+            cut = k.join(few, "key").withColumn(mine, F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+            return cold.unionByName(cut.select("id", F.xxhash64("key", "l", "r").alias("key"), "born"))
+
+        left, right = split(left, "l", "r"), split(right, "r", "l")
+    met = left.join(right.select(F.col("id").alias("other"), "key", F.col("born").alias("theirs")), "key").where(born_level(F.col("born"), F.col("theirs")) > 0)
+    if within:
+        met = met.where("id <> other").select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+    return met.select("id", "other").distinct()
+
+
 def county_level(a, b) -> int:
     if not a or not b:
         return 1
