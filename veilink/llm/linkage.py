@@ -16,19 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .people import Nicknames, born_level, born_number, county_level, date_or_none, hashed, key_pairs, name_levels, standard_people, with_namesakes
+from .people import Nicknames, born_level, born_number, county_level, date_or_none, ends, hashed, key_pairs, name_levels, standard_people, with_namesakes
 
 LEVELS = {"name": 7, "born": 5, "sex": 3, "instrument": 3, "county": 3}
-PATTERN = ", ".join(f"g_{k} int" for k in LEVELS)
+RARITIES = 32  # classes of rarity, in bits
 
 
 def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: bool) -> Iterator[pd.DataFrame]:
     """(``id``, ``key``, ``born``): keys of all passes, as hashes.
 
-    Name parts count by the beginnings of their sounds and of those of their full forms. Every key carries two parts of a date, or else only pairs
-    meet in it of which one lacks what a date would tell: ``0`` keys are of such records on the left and of all on the right, ``1`` keys of the other way
-    round. So a pair whose dates don't exclude each other meets if it agrees on a full date, or on a name part with two parts of a date, with
-    the year where there is no more, and with another name part or the place where there is no date.
+    A name part counts by the beginning of its sound or of that of its full forms, another one beside it by its first or last letters, so that one slip
+    doesn't part two records. Keys of a part and another with two parts of a date, and of a part's letters with a whole date, are for all pairs. In
+    the others only pairs meet of which one lacks something: another name part, the month, or the year (then two parts, or a part with the
+    place): ``0`` keys are of such records on the left and of all on the right, ``1`` keys of the other way round.
     """
     for b in batches:
         for lo in range(0, len(b), 2000):  # bounds the keys held at once
@@ -37,18 +37,19 @@ def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: b
                 y, m, d = date_or_none(y, m, d)
                 canon = {t: nicknames.canonical(t) for t in toks}
                 mine, open_ = set(), []  # keys of all pairs; keys of pairs with an open record, and whether this one is
-                if None not in (y, m, d):
-                    mine.add(f"d{y}.{min(m, d)}.{max(m, d)}")
+                halves = [f"{kind}{p}.{q}" for kind, p, q in (("a", y, m), ("b", y, d), ("c", m, d)) if None not in (p, q)]
                 for t in toks:
                     heads = {x[:4] for x in canon[t]}
-                    if None not in (y, m):
-                        mine.update(f"a{x}.{y}.{m}" for x in heads)
+                    others = {z for u in toks if u != t for z in canon[u]}
+                    letters = {e for z in others for e in ends(z)}
                     if None not in (y, m, d):
-                        mine.update(f"{kind}{x}.{p}.{q}" for x in heads for kind, p, q in (("b", y, d), ("c", m, d)))
+                        mine.update(f"d{e}.{y}.{min(m, d)}.{max(m, d)}" for x in canon[t] for e in ends(x))
+                    for half in halves:
+                        mine.update(f"{half}.{x}.{e}" for x in heads for e in letters)
+                        open_ += [(f"{half}.{x}", not others) for x in heads]
                     if y is not None:
                         open_ += [(f"y{x}.{y}", m is None) for x in heads]
-                    others = {x[:4] for u in toks if u != t for x in canon[u]}
-                    open_ += [(f"n{x}.{z}", y is None) for x in canon[t] for z in others]
+                    open_ += [(f"n{x}.{z}", y is None) for x in canon[t] for z in {z[:4] for z in others}]
                     if cty:
                         open_ += [(f"p{x}.{cty[:3]}.{inst}", y is None) for x in canon[t]]
                 for k, lacks in open_:
@@ -123,7 +124,8 @@ def fit(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
 
     It starts from pairs whose names and dates agree as matches. A level that says nothing (missing) has the same probability in both classes. Two
     constraints on the parameters stand for what the classes mean: names that conflict, and dates that exclude each other, have next to no
-    probability among matches (relatives share all else, and namesakes the name).
+    probability among matches (relatives share all else, and namesakes the name). A column ``g_rows`` (bits of how many records have the rewriting that
+    both names share) counts as one more attribute that depends on the level of the names.
     """
     g = counts[[f"g_{k}" for k in LEVELS]].to_numpy()
     n = counts["n"].to_numpy(float)
@@ -133,6 +135,7 @@ def fit(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
     never = np.isin(np.arange(cells) // LEVELS["born"], (0, 2)) | (np.arange(cells) % LEVELS["born"] == 0)
     variables = [(name * LEVELS["born"] + born, cells, np.ones(len(n), bool), never)]
     variables += [(g[:, c], LEVELS[k], g[:, c] != 1, np.zeros(LEVELS[k], bool)) for c, k in enumerate(LEVELS) if k in ("sex", "instrument", "county")]
+    shared = name * RARITIES + np.minimum(counts["g_rows"].to_numpy(), RARITIES - 1) if "g_rows" in counts else None
     match = np.where((name >= 3) & (born >= 2), 0.9, 0.01)
     match[(name >= 4) & (born >= 3)] = 0.99
     match[(name == 6) & (born == 1)] = 0.9
@@ -145,6 +148,9 @@ def fit(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
             u = np.bincount(values[seen], (n * (1 - match))[seen], levels) + 0.1
             ratio = np.log(np.where(barred, 1e-6, m / m.sum())) - np.log(u / u.sum())
             log_odds += np.where(seen, ratio[values], 0.0)
+        if shared is not None:
+            given = [np.bincount(shared, n * w, LEVELS["name"] * RARITIES).reshape(-1, RARITIES) + 0.5 for w in (match, 1 - match)]
+            log_odds += np.subtract(*(np.log(x / x.sum(1, keepdims=True)) for x in given)).ravel()[shared]
         new = 1 / (1 + np.exp(-np.clip(log_odds, -60, 60)))
         if np.abs(new - match).max() < 1e-7:
             break
@@ -154,7 +160,7 @@ def fit(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
 
 def posterior(found: DataFrame, name: str = "confidence") -> DataFrame:
     """``found`` with the posterior of each row's pattern; the model is fitted on the counts of all patterns."""
-    keys = [f"g_{k}" for k in LEVELS]
+    keys = [*[f"g_{k}" for k in LEVELS], *(["g_rows"] if "g_rows" in found.columns else [])]
     counts = found.groupBy(*keys).agg(F.count("*").alias("n")).toPandas()  # at most as many rows as there are patterns
     if not len(counts):
         return found.withColumn(name, F.lit(0.0))

@@ -115,19 +115,42 @@ def standard_people(people: DataFrame, key: str, names: tuple[str, ...], sex: st
 
 
 @lru_cache(maxsize=100_000)
+def letters(token: str) -> int:
+    """The letters of a token as a set of bits."""
+    bits = 0
+    for c in token:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def edits(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, changes and swaps of neighbours between two tokens, up to ``most`` + 1."""
-    if abs(len(a) - len(b)) > most:
+    # one edit changes at most two letters of a token's set
+    if abs(len(a) - len(b)) > most or (letters(a) ^ letters(b)).bit_count() > 2 * most:
         return most + 1
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, before2, before = row, before, row
         row = [i]
         for j, z in enumerate(b, 1):
-            v = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != z))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == z:
-                v = min(v, before2[j - 2] + 1)
+            v = last[j - 1] if x == z else last[j - 1] + 1
+            if last[j] < v:
+                v = min(v, last[j] + 1)
+            if row[-1] < v:
+                v = min(v, row[-1] + 1)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == z and before2[j - 2] + 1 < v:
+                v = before2[j - 2] + 1
             row.append(v)
+        if min(row) > most and min(last) > most:
+            return most + 1
     return min(row[-1], most + 1)
 
 
@@ -248,14 +271,6 @@ def born_level(a: Column, b: Column) -> Column:
     return F.when((ya == 0) | (yb == 0), 1).when((ma == 0) | (da == 0) | (mb == 0) | (db == 0), partial).otherwise(whole)
 
 
-def _letters(token: str) -> int:
-    """The letters of a token as a set of bits."""
-    bits = 0
-    for c in token:
-        bits |= 1 << (ord(c) & 63)
-    return bits
-
-
 class _Tokens:
     """Numbers of tokens that tell which pairs of them can't agree."""
 
@@ -267,7 +282,7 @@ class _Tokens:
             heard = sound(token)
             self.at[token] = len(self.text)
             self.text.append(token)
-            self.rows.append((len(token), _letters(token), len(heard), _letters(heard), hash(heard), hash(token[:3]), token in self.nicknames.full))
+            self.rows.append((len(token), letters(token), len(heard), letters(heard), hash(heard), hash(token[:3]), token in self.nicknames.full))
         return self.at[token]
 
     def close(self) -> None:
@@ -313,6 +328,14 @@ def name_levels(left: np.ndarray, right: np.ndarray, nicknames: Nicknames) -> np
     return out[back]
 
 
+def ends(part: str) -> set[str]:
+    """The beginning and the end of a part: two parts that differ by one slip (a letter more, less, changed, or two swapped) share one of them, and a part cut
+    short shares the beginning of the whole."""
+    if len(part) < 3:
+        return {f"^{part}"}
+    return {f"^{part[:2]}", *(f"{part[-k:]}$" for k in (1, 2) if k == 1 and len(part) <= 5 or k == 2 and len(part) >= 5), *([f"^{part[0]}"] if len(part) <= 5 else [])}
+
+
 def hashed(text: str) -> int:
     """A 64-bit key of a text, as Spark's bigint holds it."""
     n = xxhash.xxh3_64_intdigest(text)

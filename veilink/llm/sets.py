@@ -31,11 +31,16 @@ def encode(lists: pa.ListArray, universe: int) -> tuple[np.ndarray, pa.BinaryArr
     values = np.asarray(values).astype(np.int64)
     if len(values) and (values.min() < 0 or values.max() >= universe):
         raise ValueError(f"a position lies outside 0..{universe - 1}")
-    flat = np.unique(rows * universe + values)
-    rows, values = flat // universe, flat % universe
-    kept, n = np.unique(rows, return_counts=True)
+    flat = rows * universe + values
+    if not (np.diff(flat) > 0).all():
+        flat = np.sort(flat, kind="stable")
+        flat = flat[np.concatenate([[True], np.diff(flat) > 0])]
+        rows, values = flat // universe, flat % universe
+    counts = np.bincount(rows, minlength=len(lists))
+    kept = np.flatnonzero(counts)
+    n = counts[kept]
     blocks = -(-universe // 256)
-    slot = np.searchsorted(kept, rows)
+    slot = np.repeat(np.arange(len(kept)), n)
     heads = np.bincount(slot * blocks + (values >> 8), minlength=len(kept) * blocks).astype("<u2")
     offsets = np.concatenate([[0], np.cumsum(2 * blocks + n)]).astype(np.int32)
     out, body = np.empty(int(offsets[-1]), np.uint8), np.ones(int(offsets[-1]), bool)
