@@ -1,15 +1,13 @@
 """Salted SHA-256 Bloom filters of feature lists.
 
 Index of feature ``g`` under hash ``i``: the digest of ``g + i + salt``, read as a little-endian number, modulo the size. For a
-size that is a power of two up to 65,536 only the first two digest bytes matter, and all of it is built-in functions.
+size that is a power of two up to 65,536 only the first two digest bytes matter. All of it is built-in functions.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,44 +20,35 @@ class BloomFilter:
     salt: str | None = None
 
     def __post_init__(self) -> None:
-        if self.size < 1 or self.num_hashes < 0:
-            raise ValueError("size must be positive, num_hashes not negative")
-
-    @property
-    def native(self) -> bool:
-        return self.size <= 65536 and self.size & (self.size - 1) == 0
+        if not 1 <= self.size < 1 << 31 or self.num_hashes < 0:
+            raise ValueError("size must be positive and below 2^31, num_hashes not negative")
 
     def raw(self, features: Column) -> Column:
         """Index of every feature under every hash, with repeats; null features give none."""
         features = F.coalesce(features, F.array().cast("array<string>"))
-        if not self.native:
-            return self._by_digest()(features)
+        of = self._low_bytes if self.size <= 65536 and self.size & (self.size - 1) == 0 else self._whole_digest
 
         def one(g: Column, i: int) -> Column:
             digest = F.sha2(F.concat(g, F.lit(f"{i}{self.salt or ''}")).cast("binary"), 256)
-            low = F.conv(F.concat(F.substring(digest, 3, 2), F.substring(digest, 1, 2)), 16, 10).cast("int")
-            return low % self.size + self.offset
+            return (of(digest) + self.offset).cast("int")
 
         hashes = [lambda g, i=i: one(g, i) for i in range(self.num_hashes)]
         if not hashes:
             return F.array().cast("array<int>")
         return F.flatten(F.transform(features, lambda g: F.array(*[h(g) for h in hashes]))).cast("array<int>")
 
-    def _by_digest(self):
-        size, n, offset, salt = self.size, self.num_hashes, self.offset, self.salt or ""
-
-        @F.pandas_udf("array<int>")
-        def indices(lists: pd.Series) -> pd.Series:
-            known: dict[str, list[int]] = {}
-
-            def of(g: str) -> list[int]:
-                if g not in known:
-                    known[g] = [int.from_bytes(hashlib.sha256(f"{g}{i}{salt}".encode()).digest(), "little") % size + offset for i in range(n)]
-                return known[g]
-
-            return lists.map(lambda gs: [x for g in gs for x in of(g)])
-
-        return indices
+    def _low_bytes(self, digest: Column) -> Column:
+        return F.conv(F.concat(F.substring(digest, 3, 2), F.substring(digest, 1, 2)), 16, 10).cast("int") % self.size
+
+    def _whole_digest(self, digest: Column) -> Column:
+        """The digest's remainder for any size: its bytes last to first, in pieces of 14 digits, each times the remainder of its place value."""
+        ordered = F.reverse(F.regexp_replace(digest, "(.)(.)", "$2$1"))
+        total = F.lit(0).cast("bigint")
+        for start in range(0, 64, 14):
+            digits = min(14, 64 - start)
+            piece = F.conv(F.substring(ordered, start + 1, digits), 16, 10).cast("bigint") % self.size
+            total = (total + piece * pow(16, 64 - start - digits, self.size)) % self.size
+        return total
 
     def indices(self, features: Column) -> Column:
         """Sorted distinct indices."""

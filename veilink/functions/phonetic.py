@@ -26,8 +26,8 @@ RULES: dict[str, tuple[tuple[str, str, str, str, int], ...]] = {
         (r"(?:^|[^AEIOUY])A$", r"CH(?![IE])", "K", "K", 2), (r"^.?[^AEIOUY]A$", r"CH(?!I)", "K", "K", 2), (r"^$", r"CAESAR", "S", "S", 2), (r"^$", r"CHIA", "K", "K", 2),
         (r".", r"CHAE", "K", "X", 2), (r"^$", r"CH(?:ARAC|ARIS|OR(?!E)|YM|IA|EM)", "K", "K", 2), (r"^(?:VAN |VON |SCH).*$", r"CH", "K", "K", 2), (r"(?:OR|AR)$", r"CH(?:ES|IT|ID)", "K", "K", 2),
         (r"", r"CH[TS]", "K", "K", 2), (r"(?:^|[AOUE])$", r"CH(?:[LRNMBHFVW ]|$)", "K", "K", 2), (r"^MC$", r"CH", "K", "K", 2), (r"^M$", r"CH", "K", "K", 2), (r"^$", r"CH", "X", "X", 2), (r"", r"CH", "X", "K", 2),
-        (r"(?<!WI)$", r"CZ", "S", "X", 2), (r"", r"CIA", "X", "X", 3), (r"^.?UC$", r"C(?:E(?=E)|ES)", "KS", "KS", 2), (r"^A$", r"CC(?=[IEH])(?!CHU)", "KS", "KS", 3),
-        (r"U$", r"CC(?:EE|ES)", "KS", "KS", 3), (r"(?!^M$)", r"CC(?=[IEH])(?!CHU)", "X", "X", 3), (r"(?!^M$)", r"CC", "K", "K", 2), (r"", r"C[KGQ]", "K", "K", 2), (r"", r"CI[OEA]", "S", "X", 2),
+        (r"(?<!WI)$", r"CZ", "S", "X", 2), (r"", r"CIA", "X", "X", 3), (r"^.?UC$", r"C(?:E(?=E)|ES)", "KS", "KS", 2), (r"^A$", r"CC(?=[IEH])(?!HU)", "KS", "KS", 3),
+        (r"U$", r"CC(?:EE|ES)", "KS", "KS", 3), (r"(?!^M$)", r"CC(?=[IEH])(?!HU)", "X", "X", 3), (r"(?!^M$)", r"CC", "K", "K", 2), (r"", r"C[KGQ]", "K", "K", 2), (r"", r"CI[OEA]", "S", "X", 2),
         (r"", r"C[IEY]", "S", "S", 2), (r"", r"C [CQG]", "K", "K", 3), (r"", r"C[CKQ](?!E|I)", "K", "K", 2), (r"", r"C", "K", "K", 1),
     ),
     "D": ((r"", r"DG[IEY]", "J", "J", 3), (r"", r"DG", "TK", "TK", 2), (r"", r"D[TD]", "T", "T", 2), (r"", r"D", "T", "T", 1)),
@@ -44,14 +44,14 @@ RULES: dict[str, tuple[tuple[str, str, str, str, int], ...]] = {
         (r"", r"J$", "J", "", 1), (r"[SKL]$", r"J", "", "", 1), (r"", r"J[LTKSNMBZ]", "", "", 1), (r"", r"JJ", "J", "J", 2), (r"", r"J", "J", "J", 1),
     ),
     "K": ((r"", r"KK", "K", "K", 2), (r"", r"K", "K", "K", 1)),
-    "L": ((r"I$", r"LL(?:O|A)S?$", "L", "", 2), (r"A$", r"LLE$", "L", "", 2), (r"", r"LL", "L", "L", 2), (r"", r"L", "L", "L", 1)),
+    "L": ((r"I$", r"LL(?:O|A)S?$", "L", "", 2), (r"A$", r"LLE(?:$|(?=.*(?:[AO]|[AO]S)$))", "L", "", 2), (r"", r"LL", "L", "L", 2), (r"", r"L", "L", "L", 1)),
     "M": ((r"U$", r"MB(?:$|ER)", "M", "M", 2), (r"", r"MM", "M", "M", 2), (r"", r"M", "M", "M", 1)),
     "N": ((r"", r"NN", "N", "N", 2), (r"", r"N", "N", "N", 1)),
     "P": ((r"", r"PH", "F", "F", 2), (r"", r"P[PB]", "P", "P", 2), (r"", r"P", "P", "P", 1)),
     "Q": ((r"", r"QQ", "K", "K", 2), (r"", r"Q", "K", "K", 1)),
     "R": ((r"(?<!ME)(?<!MA)IE$", r"R${N}", "", "R", 1), (r"", r"RR", "R", "R", 2), (r"", r"R", "R", "R", 1)),
     "S": (
-        (r"[IY]$", r"SL(?=E|$)", "", "", 1), (r"^$", r"SUGAR", "X", "S", 1), (r"", r"SH(?:EIM|OEK|OLM|OLZ)", "S", "S", 2), (r"", r"SH", "X", "X", 2), (r"", r"SI[OA]{N}", "S", "X", 3), (r"", r"SI[OA]", "S", "S", 3),
+        (r"[IY]$", r"SL", "", "", 1), (r"^$", r"SUGAR", "X", "S", 1), (r"", r"SH(?:EIM|OEK|OLM|OLZ)", "S", "S", 2), (r"", r"SH", "X", "X", 2), (r"", r"SI[OA]{N}", "S", "X", 3), (r"", r"SI[OA]", "S", "S", 3),
         (r"^$", r"S[MNLW]", "S", "X", 1), (r"", r"SZ", "S", "X", 2), (r"", r"SCH(?:ER|EN)", "X", "SK", 3), (r"", r"SCH(?:OO|UY|ED|EM)", "SK", "SK", 3), (r"^$", r"SCH(?=[^AEIOUYW])", "X", "S", 3), (r"", r"SCH", "X", "X", 3),
         (r"", r"SC[IEY]", "S", "S", 3), (r"", r"SC", "SK", "SK", 3), (r"[AO]I$", r"S$", "", "S", 1), (r"", r"SS", "S", "S", 2), (r"", r"S", "S", "S", 1),
     ),

@@ -7,7 +7,6 @@ import io
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,22 @@ from pyspark.sql import functions as F
 
 from ..functions.bloom import BloomFilter
 from ..functions.features import FACTORY, Feature, no_features
+from ..sources.files import exists, read_file, write_file
+
+
+def _function_digest(f: Callable) -> str:
+    """The name of a built-in feature function; of another one a digest of its code, constants and defaults."""
+    if f in FACTORY.values():
+        return f.__name__
+    code = getattr(f, "__code__", None)
+    if code is None:  # a callable object or a partial function
+        inner = getattr(f, "func", None) or getattr(type(f), "__call__")
+        return hashlib.sha256(repr((_function_digest(inner) if hasattr(inner, "__code__") else repr(inner), getattr(f, "args", ()), getattr(f, "keywords", {}))).encode()).hexdigest()
+
+    def parts(c) -> tuple:
+        return c.co_code, c.co_names, tuple(parts(x) if hasattr(x, "co_code") else x for x in c.co_consts)
+
+    return hashlib.sha256(repr((parts(code), f.__defaults__, f.__kwdefaults__)).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -64,8 +79,11 @@ class Embedder:
 
     @property
     def checksum(self) -> str:
-        """Digest of column types, their options, the filter's shape and every byte of the matrix; the salt is no part of it."""
-        text = json.dumps([sorted(self.factory), {k: repr(sorted(v.items())) for k, v in sorted(self.options.items())}, self.bloom.size, self.bloom.num_hashes, self.bloom.offset])
+        """Digest of column types with their functions, their options, the filter's shape and every byte of the matrix; the salt is no part of it.
+
+        A function of one's own counts by its compiled code, so parties that share one need the same version of Python.
+        """
+        text = json.dumps([[[k, _function_digest(f)] for k, f in sorted(self.factory.items())], {k: repr(sorted(v.items())) for k, v in sorted(self.options.items())}, self.bloom.size, self.bloom.num_hashes, self.bloom.offset])
         digest = hashlib.md5(text.encode(), usedforsecurity=False)
         if self.scm is not None:
             digest.update(np.ascontiguousarray(self.scm, np.float32).tobytes())
@@ -75,7 +93,7 @@ class Embedder:
         if kind not in self.factory:
             raise ValueError(f"no feature function for column type {kind!r}")
         options = dict(self.options.get(kind, {}))
-        if kind in ("misc", "shingled") and self.factory[kind] is FACTORY.get(kind):
+        if self.factory[kind] in (FACTORY["misc"], FACTORY["shingled"]):
             options.setdefault("label", column)
         return F.coalesce(self.factory[kind](**options)(F.col(f"`{column}`")), no_features())
 
@@ -100,14 +118,15 @@ class Embedder:
         """``bf_norms``: root of the sum of the matrix over a record's own indices."""
         self.check(edf)
         if self.scm is None:
-            norm = F.sqrt(F.size(F.coalesce("bf_indices", F.array().cast("array<int>"))).cast("double"))
+            norm = F.sqrt(F.size(F.array_distinct(F.coalesce("bf_indices", F.array().cast("array<int>")))).cast("double"))
         else:
             shared = edf.df.sparkSession.sparkContext.broadcast(self.scm)  # width x width
 
             @F.pandas_udf("double")
             def trained(lists: pd.Series) -> pd.Series:
                 a = shared.value.astype(np.float64)
-                return pd.Series([float(np.sqrt(max(0.0, a[np.ix_(x, x)].sum()))) if x is not None and len(x) else 0.0 for x in lists])
+                sets = (np.unique(x) if x is not None else () for x in lists)  # an index listed twice counts once
+                return pd.Series([float(np.sqrt(max(0.0, a[np.ix_(x, x)].sum()))) if len(x) else 0.0 for x in sets])
 
             norm = trained("bf_indices")
         return Embedded(edf.df.withColumn("bf_norms", norm), edf.checksum, edf.id_column)
@@ -122,14 +141,14 @@ class Embedder:
             raise ValueError("the table was made by another embedder")
 
     def save(self, folder: str) -> None:
-        """JSON configuration and matrices; no code and no salt goes into the folder."""
-        path = Path(folder)
-        path.mkdir(parents=True, exist_ok=True)
+        """JSON configuration and matrices, under a path or a URI; no code and no salt goes into the folder."""
         config = {"size": self.bloom.size, "num_hashes": self.bloom.num_hashes, "offset": self.bloom.offset, "options": self.options, "types": sorted(self.factory), "checksum": self.checksum}
-        (path / "embedder.json").write_text(json.dumps(config, indent=1))
+        write_file(f"{folder}/embedder.json", json.dumps(config, indent=1).encode())
         for name in ("scm", "matched", "unmatched"):
             if (m := getattr(self, name)) is not None:
-                np.save(path / f"{name}.npy", m)
+                out = io.BytesIO()
+                np.save(out, m)
+                write_file(f"{folder}/{name}.npy", out.getvalue())
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -140,15 +159,15 @@ class Embedder:
 
     @classmethod
     def load(cls, path: str | None = None, data: bytes | None = None, salt: str | None = None, factory: Mapping | None = None) -> "Embedder":
-        """From a folder or from bytes, exactly one of them; the stored checksum must be that of what is read."""
+        """From a folder (a path or a URI) or from bytes, exactly one of them; the stored checksum must be that of what is read."""
         if (path is None) == (data is None):
             raise ValueError("give either a path or bytes")
         if data is not None:
             with np.load(io.BytesIO(data), allow_pickle=False) as z:
                 config, matrices = json.loads(str(z["config"])), {n: z[n] for n in ("scm", "matched", "unmatched") if n in z}
         else:
-            config = json.loads((Path(path) / "embedder.json").read_text())
-            matrices = {n: np.load(f, allow_pickle=False) for n in ("scm", "matched", "unmatched") if (f := Path(path) / f"{n}.npy").exists()}
+            config = json.loads(read_file(f"{path}/embedder.json"))
+            matrices = {n: np.load(io.BytesIO(read_file(f)), allow_pickle=False) for n in ("scm", "matched", "unmatched") if exists(f := f"{path}/{n}.npy")}
         bloom = BloomFilter(config["size"], config["num_hashes"], config["offset"], salt)
         made = cls(bloom, config["options"], dict(factory or FACTORY), **matrices)
         if made.checksum != config["checksum"]:
@@ -157,8 +176,12 @@ class Embedder:
 
 
 def party_to_filters(df: DataFrame, colspec: Mapping[str, str], id_column: str, other_columns: list[str] | None = None, salt: str = "") -> DataFrame:
-    """One call from a party's table to what it may share: names as 1- to 4-grams with skip-grams, norms and thresholds, anonymised."""
-    embedder = Embedder(BloomFilter(salt=salt), {"name": {"ngram_length": [1, 2, 3, 4], "use_gen_skip_grams": True}})
+    """One call from a party's table to what it may share: names as 1- to 4-grams with skip-grams, norms and thresholds, anonymised.
+
+    Column types are ``name``, ``dob``, ``sex``, ``misc_features`` and ``misc_shingled_features``; ``misc`` and ``shingled`` are short for the last two.
+    """
+    types = FACTORY | {"misc_features": FACTORY["misc"], "misc_shingled_features": FACTORY["shingled"]}
+    embedder = Embedder(BloomFilter(salt=salt), {"name": {"ngram_length": [1, 2, 3, 4], "use_gen_skip_grams": True}}, types)
     keep = list(other_columns if other_columns is not None else [id_column])
     made = embedder.embed(df, colspec, id_column, update_norms=True, update_thresholds=True)
     extra = [c for c in keep if c not in made.df.columns and c in df.columns]

@@ -7,6 +7,7 @@ threshold and a similarity of the same two filters are the same number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -18,64 +19,86 @@ if TYPE_CHECKING:
     from .embed import Embedded, Embedder
 
 BLOCK_ROWS = 4096
+STRIP_ROWS = 256  # rows of a block whose scores are held at once
 
 
 def dense(lists: pd.Series, width: int) -> np.ndarray:
     """0/1 matrix of index lists; repeated indices count once, null lists are empty."""
     out = np.zeros((len(lists), width), np.float32)
-    for i, x in enumerate(lists):
-        if x is not None and len(x):
-            out[i, np.asarray(x)] = 1
+    sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)
+    if sizes.sum():
+        out[np.repeat(np.arange(len(lists)), sizes), np.concatenate([x for x, n in zip(lists, sizes) if n]).astype(np.int64)] = 1
     return out
 
 
 def _side(df: DataFrame, id_column: str, blocks: int, others: int, side: int, carry: list[str]) -> DataFrame:
-    own = F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
-    copies = df.select(F.col(id_column).alias("id"), "bf_indices", *carry, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
+    # under names of their own, so that a table can be compared with itself
+    own = df.select(F.col(f"`{id_column}`").alias("id"), F.col("bf_indices").alias("x"), *[F.col(c).alias(c) for c in carry]).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    copies = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
     i, j = ("own", "other") if side == 0 else ("other", "own")
-    return copies.select("id", "bf_indices", *carry, F.col(i).alias("bi"), F.col(j).alias("bj"))
+    return copies.select(F.col("id").alias("id"), F.col("x").alias("bf_indices"), *[F.col(c).alias(c) for c in carry], F.col(i).alias("bi"), F.col(j).alias("bj"))
 
 
-def _block_scores(a: pd.DataFrame, b: pd.DataFrame, width: int, scm: np.ndarray | None) -> np.ndarray:
-    x, y = dense(a["bf_indices"], width), dense(b["bf_indices"], width)
-    counts = x @ (y if scm is None else y @ scm).T
+def _scores(x: np.ndarray, y: np.ndarray, scm: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and similarities of a strip of rows of ``x`` with all of ``y``, strip by strip."""
     if scm is None:
         na, nb = x.sum(1, dtype=np.float64), y.sum(1, dtype=np.float64)
-        norms = np.sqrt(na[:, None] * nb[None, :])
+        right = y.T
     else:
-        na, nb = (np.sqrt(np.maximum(0, ((m @ scm) * m).sum(1, dtype=np.float64))) for m in (x, y))
-        norms = na[:, None] * nb[None, :]
-    return np.divide(counts, norms, out=np.zeros(counts.shape, np.float64), where=norms > 0)
+        na, nb = (np.maximum(0, ((m @ scm) * m).sum(1, dtype=np.float64)) for m in (x, y))
+        right = (y @ scm).T
+    for lo in range(0, len(x), STRIP_ROWS):
+        counts = (x[lo : lo + STRIP_ROWS] @ right).astype(np.float64)
+        # one root of a product of counts, so that equal filters score exactly 1; of trained norms each its own
+        norms = np.sqrt(na[lo : lo + STRIP_ROWS, None] * nb[None, :]) if scm is None else np.sqrt(na[lo : lo + STRIP_ROWS])[:, None] * np.sqrt(nb)[None, :]
+        yield lo, np.divide(counts, norms, out=np.zeros(counts.shape), where=norms > 0)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, run, schema: str, carry_left: list[str], carry_right: list[str], block_rows: int) -> DataFrame:
-    nl, nr = (max(1, -(-d.count() // block_rows)) for d in (left, right))
-    a, b = _side(left, left_id, nl, nr, 0, carry_left), _side(right, right_id, nr, nl, 1, carry_right)
+def block_count(df: DataFrame, block_rows: int) -> int:
+    return max(1, -(-df.count() // block_rows))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, run, schema: str, carry: list[str], block_rows: int) -> DataFrame:
+    nl, nr = block_count(left, block_rows), block_count(right, block_rows)
+    a, b = _side(left, left_id, nl, nr, 0, carry), _side(right, right_id, nr, nl, 1, carry)
     return a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInPandas(run, schema)
 
 
 def self_thresholds(embedder: "Embedder", edf: "Embedded", block_rows: int = BLOCK_ROWS) -> "Embedded":
     """``thresholds``: each record's largest similarity to another record of its own table; a lone record has minus infinity.
 
-    Records are told apart by id; two rows of one id aren't others of each other.
+    Records are told apart by id; two rows of one id aren't others of each other. A row with a null id has a null threshold and is no other of any.
+    Each pair of blocks is scored once, for both of its sides.
     """
     from .embed import Embedded
 
     embedder.check(edf)
     width, scm, key = embedder.width, embedder.scm, edf.id_column
-    kind = dict(edf.df.dtypes)[key]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "best": []})
-        s = _block_scores(a, b, width, scm)
-        s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
-        return pd.DataFrame({"id": a["id"], "best": s.max(1)})
-
     own = edf.df.drop("thresholds")
-    best = block_pairs(own, own, key, key, run, f"id {kind}, best double", [], [], block_rows).groupBy("id").agg(F.max("best").alias("thresholds"))
-    joined = own.join(best.withColumnRenamed("id", key), key, "left").withColumn("thresholds", F.coalesce("thresholds", F.lit(float("-inf"))))
-    return Embedded(joined.select(*own.columns, "thresholds"), edf.checksum, key)
+    kind = dict(own.dtypes)[key]
+    named = own.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), F.col("bf_indices").alias("x"))
+    blocks = block_count(named, block_rows)
+    cut = named.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    laid = cut.select("id", "x", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).alias("second"))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        m, ids = dense(p["x"], width), p["id"].to_numpy()
+        within = p["bi"].iloc[0] == p["bj"].iloc[0]
+        first = np.arange(len(p)) if within else np.flatnonzero(~p["second"].to_numpy())
+        second = first if within else np.flatnonzero(p["second"].to_numpy())
+        best = np.full(len(p), -np.inf)
+        if len(first) and len(second):
+            for lo, s in _scores(m[first], m[second], scm):
+                at = first[lo : lo + len(s)]
+                s[ids[at][:, None] == ids[second][None, :]] = -np.inf
+                best[at] = np.maximum(best[at], s.max(1))
+                if not within:
+                    best[second] = np.maximum(best[second], s.max(0))
+        return pd.DataFrame({"id": ids, "best": best})
+
+    best = laid.groupBy("bi", "bj").applyInPandas(run, f"id {kind}, best double").groupBy("id").agg(F.max("best").alias("thresholds"))
+    joined = own.join(best.withColumnRenamed("id", key), key, "left")
+    return Embedded(joined.select(*[f"`{c}`" for c in own.columns], "thresholds"), edf.checksum, key)
 
 
 def compare(embedder: "Embedder", left: "Embedded", right: "Embedded", require_thresholds: bool = True, least: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -92,14 +115,20 @@ def compare(embedder: "Embedder", left: "Embedded", right: "Embedded", require_t
     carry = ["thresholds"] if have else []
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        s = _block_scores(a, b, width, scm) if len(a) and len(b) else np.zeros((0, 0))
-        i, j = np.nonzero(s >= least) if least is not None else map(np.ravel, np.indices(s.shape))
-        out = {"id1": a["id"].to_numpy()[i], "id2": b["id"].to_numpy()[j], "sim": s[i, j]}
+        i, j, sims = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if len(a) and len(b):
+            for lo, s in _scores(dense(a["bf_indices"], width), dense(b["bf_indices"], width), scm):
+                r, c = np.nonzero(s >= least) if least is not None else map(np.ravel, np.indices(s.shape))
+                i.append(r + lo)
+                j.append(c)
+                sims.append(s[r, c])
+        i, j = np.concatenate(i), np.concatenate(j)
+        out = {"id1": a["id"].to_numpy()[i], "id2": b["id"].to_numpy()[j], "sim": np.concatenate(sims)}
         for name, side, at in (("th1", a, i), ("th2", b, j)):
             out[name] = side["thresholds"].to_numpy()[at] if have else np.full(len(at), None)
         return pd.DataFrame(out)
 
-    return block_pairs(left.df.where(F.col(left.id_column).isNotNull()), right.df.where(F.col(right.id_column).isNotNull()), left.id_column, right.id_column, run, f"id1 {k1}, id2 {k2}, sim double, th1 double, th2 double", carry, carry, block_rows)
+    return block_pairs(left.df.where(F.col(left.id_column).isNotNull()), right.df.where(F.col(right.id_column).isNotNull()), left.id_column, right.id_column, run, f"id1 {k1}, id2 {k2}, sim double, th1 double, th2 double", carry, block_rows)
 
 
 def compare_indexed(left: "Embedded", right: "Embedded") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from ..operators.embed import Embedded, Embedder, party_to_filters
 from ..operators.link import match, performance, private_index
 from ..operators.similarity import compare, compare_indexed
 from ..operators.train import joint_frequencies, train
-from ..session import read_table, spread
+from ..session import read_table, shared_folder, spread
 from ..streaming.embed_stream import embed_stream, write_stream
 from .oracle import ORACLE_SQL
 
@@ -217,8 +217,7 @@ def encrypted_round_trip(spark, d):
 
 def embed_streamed(spark, d):
     """Customers as a stream of files, embedded and appended to a table."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilink-stream-")
-    root = f"{folder}/stream-{spark.sparkContext.applicationId}-{abs(hash((d, id(spark), __import__('time').time_ns())))}"
+    root = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     source = f"{d}/customer.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "customer.parquet").parquet(d)
     done = embed_stream(stream.select("c_custkey", "c_name"), embedder(), {"c_name": "name"}, "c_custkey")

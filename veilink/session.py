@@ -16,15 +16,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is used only where that
-    setting is absent (tests, a single machine).
+    setting is absent and everything runs on one machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veilink-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master, an error on a cluster without the setting."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="veilink-")
+
+
 def slots(spark: SparkSession) -> int:
     """Task slots of the running application."""
     return max(1, spark.sparkContext.defaultParallelism)

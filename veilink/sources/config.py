@@ -31,4 +31,4 @@ def linkage_settings(values: Mapping[str, str]) -> dict:
     missing = [k for k in ("PARTY_1", "PARTY_2") if not values.get(k)]
     if missing:
         raise ValueError(f"settings are missing: {missing}")
-    return {"parties": (values["PARTY_1"], values["PARTY_2"]), "folder": values.get("DATA_DIR", "."), "production": values.get("PRODUCTION", "0") not in ("", "0", "false", "False")}
+    return {"parties": (values["PARTY_1"], values["PARTY_2"]), "folder": values.get("DATA_DIR", "."), "production": values.get("PRODUCTION", "0") not in ("", "0", "false", "False"), "private_key": values.get("PRIVATE_KEY_FILE")}
