@@ -128,7 +128,7 @@ def test_subsets_at_the_boundary_of_two_blocks(kind, threshold):
         _, codes = S.encode(pa.array([list(range(n)), list(range(small))], pa.list_(pa.int32())), 1024)
         words, sizes = S.bit_words(codes, 1024)
         for left, right in [([0], [1]), ([1], [0])]:
-            assert S.compare_block(words, sizes, np.array(left), np.array(right), rule, 4, None).shape[1] == 1, (n, small)
+            assert len(list(S.near_pairs(S.folded(words, 4), sizes, np.array(left), np.array(right), rule, None))) == 1, (n, small)
 
 
 def test_links(table):
@@ -147,9 +147,11 @@ def test_bound_names_most_cells(table):
 
 def test_nearest_rows(table):
     df, sets = table
-    got = {tuple(r)[:2]: r.similarity for r in neighbours.nearest_rows(df, probes=16).collect()}
     want = brute_nearest(sets, 5, 0.6)
-    assert set(got) == want
+    for homes, block in ((1, 32768), (3, 20), (1, 5)):  # with blocks a cell is cut into, and without
+        found = [tuple(r) for r in neighbours.nearest_rows(df, homes=homes, probes=16, block_rows=block).collect()]
+        got = {r[:2]: r[2] for r in found}
+        assert len(found) == len(got) and set(got) == want
     assert all(abs(s - round(len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])), 6)) < 1e-9 for (a, b), s in got.items())
     routed = {tuple(r)[:2] for r in neighbours.nearest_rows(df).collect()}
     assert len(routed & want) >= 0.9 * len(want)

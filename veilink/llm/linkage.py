@@ -138,6 +138,7 @@ def fit(counts: pd.DataFrame, rounds: int = 200) -> pd.DataFrame:
     shared = name * RARITIES + np.minimum(counts["g_rows"].to_numpy(), RARITIES - 1) if "g_rows" in counts else None
     match = np.where((name >= 3) & (born >= 2), 0.9, 0.01)
     match[(name >= 4) & (born >= 3)] = 0.99
+    match[(born == 3) & (g[:, 2:] == 0).any(1)] = 0.3  # nearly the same date, and something else differs: left to the rounds
     match[(name == 6) & (born == 1)] = 0.9
     match[never[variables[0][0]]] = 0.001
     for _ in range(rounds):

@@ -2,9 +2,9 @@
 
 A bounded sample of vectors gives a graph of nearest neighbours, which is cut into parts of equal size that keep neighbours
 together. A small classifier (naive Bayes over positions, one weight for each position and part) learns the parts from
-the sample and routes every vector of the collection to its most probable parts. Vectors that share a part are
-compared exactly, so a part's vectors are index and query at once. Then neighbours of neighbours are reranked
-once, which finds links between vectors that were routed apart but have a neighbour in common.
+the sample, and once more from a larger bounded sample that it has labelled itself. Every vector of the collection is stored in the two parts that
+are most probable for it and asks in several more. Folds of the bit vectors rule out what can't be similar enough without losing
+any; what remains is reranked by the exact cosine.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..session import checkpointed, slots
 from . import sets as S
 
 SAMPLE_ROWS = 16_384  # bound of the sample that the graph and the classifier are fitted on
+LABELLED_ROWS = 262_144  # bound of the sample that the classifier labels and is fitted on again
 
 
 def sample_graph(sample: list[bytes], universe: int, degree: int, spark) -> np.ndarray:
@@ -95,27 +96,32 @@ def balanced_parts(near: np.ndarray, parts: int, passes: int = 3) -> np.ndarray:
 
 
 class Router:
-    """Naive Bayes from sets of positions to parts."""
+    """Naive Bayes from sets of positions to parts, from how often each position stands in each part (``counts``) and the parts' sizes."""
 
-    def __init__(self, sample: list[bytes], label: np.ndarray, parts: int, universe: int, prior: float = 16.0):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, prior: float = 16.0):
+        everywhere = counts.sum(1, keepdims=True) / max(1, sizes.sum())
+        p = np.clip((counts + prior * everywhere) / (sizes + prior), 1e-6, 1 - 1e-6)
+        self.weight = (np.log(p) - np.log1p(-p)).astype(np.float32)
+        self.bias = np.log1p(-p).sum(0).astype(np.float32)
+
+    @classmethod
+    def of_sample(cls, sample: list[bytes], label: np.ndarray, parts: int, universe: int) -> "Router":
         rows, pos, _ = S.decode(pa.array(sample, pa.binary()), universe)
         counts = np.zeros((universe, parts), np.float64)
         np.add.at(counts, (pos, label[rows]), 1)
-        everywhere = counts.sum(1, keepdims=True) / max(1, len(sample))
-        p = np.clip((counts + prior * everywhere) / (np.bincount(label, minlength=parts) + prior), 1e-6, 1 - 1e-6)
-        self.weight = (np.log(p) - np.log1p(-p)).astype(np.float32)
-        self.bias = np.log1p(-p).sum(0).astype(np.float32)
+        return cls(counts, np.bincount(label, minlength=parts))
 
     def route(self, codes: pa.BinaryArray, universe: int, probes: int) -> list[np.ndarray]:
-        """The ``probes`` most probable parts of each set."""
+        """The ``probes`` most probable parts of each set, the most probable first."""
         k, out = min(probes, len(self.bias)), []
-        for lo in range(0, len(codes), 512):
-            part = codes.slice(lo, 512)
+        for lo in range(0, len(codes), 1024):
+            part = codes.slice(lo, 1024)
             rows, pos, _ = S.decode(part, universe)
             dense = np.zeros((len(part), universe), np.float32)
             dense[rows, pos] = 1
-            score = dense @ self.weight + self.bias
-            out += list(np.argpartition(-score, k - 1, axis=1)[:, :k]) if k < len(self.bias) else [np.arange(k)] * len(part)
+            score = -(dense @ self.weight + self.bias)
+            top = np.argpartition(score, k - 1, axis=1)[:, :k] if k < len(self.bias) else np.tile(np.arange(k), (len(part), 1))
+            out += list(np.take_along_axis(top, np.argsort(np.take_along_axis(score, top, 1), axis=1), 1))
         return out
 
 
@@ -123,9 +129,32 @@ def fit_router(distinct: DataFrame, n_sets: int, *, universe: int, rows_per_part
     sample = S.sample_codes(distinct, SAMPLE_ROWS, seed=1)
     parts = min(max(16, 1 << max(0, round(np.log2(max(1, n_sets / rows_per_part))))), most_parts)
     if len(sample) <= parts * 2:
-        return Router(sample or [b"\0" * (2 * -(-universe // 256))], np.zeros(max(1, len(sample)), int), 1, universe)
+        return Router.of_sample(sample or [b"\0" * (2 * -(-universe // 256))], np.zeros(max(1, len(sample)), int), 1, universe)
     near = sample_graph(sample, universe, degree, distinct.sparkSession)
-    return Router(sample, balanced_parts(near, parts), parts, universe)
+    first = Router.of_sample(sample, balanced_parts(near, parts), parts, universe)
+    return first if n_sets <= SAMPLE_ROWS else refitted(first, distinct, n_sets, universe)
+
+
+def refitted(router: Router, distinct: DataFrame, n_sets: int, universe: int) -> Router:
+    """``router`` fitted again on what it says of about ``LABELLED_ROWS`` vectors, picked by hash; counted on the executors."""
+    spark, parts = distinct.sparkSession, len(router.bias)
+    shared = spark.sparkContext.broadcast(router)
+    share = min(1.0, LABELLED_ROWS / n_sets)
+    picked = distinct.where(F.pmod(F.xxhash64("code", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20))).select("code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sizes = np.zeros(universe * parts, np.int64), np.zeros(parts, np.int64)
+        for b in batches:
+            label = np.array([x[0] for x in shared.value.route(b.column(0), universe, 1)], np.int64)
+            rows, pos, _ = S.decode(b.column(0), universe)
+            counts += np.bincount(pos * parts + label[rows], minlength=universe * parts)
+            sizes += np.bincount(label, minlength=parts)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.astype("<i4").tobytes()], pa.binary()), pa.array([sizes.astype("<i4").tobytes()], pa.binary())], ["counts", "sizes"])
+
+    # at most 16 matrices of a position and a part each come back
+    got = picked.repartition(min(16, slots(spark))).mapInArrow(run, "counts binary, sizes binary").collect()
+    counts, sizes = (sum(np.frombuffer(bytes(r[k]), "<i4").astype(np.int64) for r in got) for k in ("counts", "sizes"))
+    return Router(counts.reshape(universe, parts).astype(np.float64), sizes)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -147,23 +176,9 @@ def nearest(pairs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     return scored.select("a", "b", "sim").join(kept, ["a", "sim"], "left_semi").select("a", "b", "sim")
 
 
-def widened(pairs: DataFrame, distinct: DataFrame, rule: S.Rule, universe: int, k: int) -> DataFrame:
-    """``pairs`` and those among the ``k`` nearest of one vector that hold ``rule`` but weren't found.
-
-    A vector brings at most ``k`` of its neighbours together (ties beyond ``k`` by smallest id): this step only adds
-    links, so the bound loses none that were found.
-    """
-    order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    top = both_ways(pairs).withColumn("sim", S.rounded_cosine()).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("a", "b")
-    around = top.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
-    ends = F.explode(F.flatten(F.transform("near", lambda x: F.transform(F.filter("near", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
-    new = around.select(ends.alias("p")).select("p.a", "p.b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    return pairs.unionByName(S.verified(new, distinct, rule, universe))
-
-
 def nearest_rows(
     records: DataFrame, *, key: str = "row_id", column: str = "bf_indices", a: str = "row_a", b: str = "row_b", k: int = 5, least: float = 0.6,
-    universe: int = 1024, probes: int = 7, sigmas: float | None = None, block_rows: int = 32768,
+    universe: int = 1024, homes: int = 2, probes: int = 8, block_rows: int = 32768,
 ) -> DataFrame:
     """Pairs of rows (``a`` < ``b``) with ``similarity`` (cosine, six decimals, at least ``least``) where one is among the ``k`` most
     similar of the other; all rows that tie with the k-th count. Each pair once.
@@ -175,12 +190,14 @@ def nearest_rows(
     spark = records.sparkSession
     encoded = S.encoded_sets(records, key, column, universe).persist()
     distinct = S.distinct_sets(encoded).persist()
-    router = spark.sparkContext.broadcast(fit_router(distinct, distinct.count(), universe=universe))  # universe x most_parts weights
+    fitted = fit_router(distinct, distinct.count(), universe=universe)
+    router = spark.sparkContext.broadcast(fitted)  # universe x most_parts weights
     assigned = S.map_codes(distinct, lambda codes: router.value.route(codes, universe, probes)).persist()
     rule = S.Rule("cosine", least)
-    pairs = checkpointed(S.cell_pairs(assigned, rule, universe=universe, fold_words=4, sigmas=sigmas, block_rows=block_rows))
+    near = checkpointed(S.routed_pairs(assigned, len(fitted.bias), homes, rule, universe=universe, block_rows=block_rows).distinct())
+    assigned.unpersist()
+    pairs = checkpointed(S.verified(near, distinct, rule, universe))
     copies = distinct.where("copies > 1").select("rep", "copies")
-    pairs = checkpointed(widened(pairs, distinct, rule, universe, k))
     kept = nearest(pairs, copies, k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
     members = S.copy_rows(encoded, distinct)
     links = S.expanded(kept, members, a, b, "sim").unionByName(S.copy_pairs(members, a, b).withColumn("sim", F.lit(1.0)))

@@ -7,6 +7,7 @@ their bit vectors, then exactly.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width
 
+FOLD_WORDS = 3  # words of a fold that travels: 192 bits rule out nearly all pairs that a cosine of 0.6 or a Jaccard of 0.7 would
 BROADCAST_ROWS = 1_000_000  # ids or pairs that may be sent to all executors; more are joined by shuffles
 PAIRS = "a bigint, b bigint, o int, na int, nb int"
 
@@ -187,80 +189,153 @@ def near_pairs(first: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np
                 yield left[i], right[j]
 
 
-def compare_block(words, sizes, left, right, rule: Rule, fold_words: int, sigmas: float | None):
-    """(i, j, o) of pairs that hold the rule: i from ``left``, j from ``right`` (None: within ``left``, each pair once)."""
-    found = []
-    for i, j in near_pairs(folded(words, fold_words), sizes, left, right, rule, sigmas):
-        o = np.bitwise_count(words[i] & words[j]).sum(1, dtype=np.int64)
-        good = rule.holds(o, sizes[i], sizes[j])
-        found.append(np.stack([i[good], j[good], o[good]]))
-    return np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+ENTRY = np.dtype([("rep", "<i8"), ("size", "<u2"), ("fold", "<u8", (FOLD_WORDS,))])
+
+
+def sketch_entries(rep: np.ndarray, codes: pa.BinaryArray, universe: int) -> np.ndarray:
+    """What of each record travels to its cells: its number, its size and a fold of its bits."""
+    out = np.empty(len(rep), ENTRY)
+    for lo in range(0, len(rep), 8192):
+        words, sizes = bit_words(codes.slice(lo, 8192), universe)
+        out["rep"][lo : lo + 8192], out["size"][lo : lo + 8192], out["fold"][lo : lo + 8192] = rep[lo : lo + 8192], sizes, folded(words, FOLD_WORDS)
+    return out
+
+
+OWN, ASKING, SECOND, ASKED = range(4)  # what a record is in a group: compared with the others of its kind and the asking; asking; of the second block; asked only
+
+
+class Grid:
+    """Where the records of cells are compared: in one group a cell, or, where a cell is large, in one for each pair of blocks. Groups are dealt to
+    partitions by the work they are, largest first."""
+
+    def __init__(self, own: np.ndarray, asking: np.ndarray, block_rows: int, least_parts: int, rows_per_part: int = 150_000):
+        self.own_blocks, self.asking_blocks = (np.maximum(1, -(-n // block_rows)).astype(np.int64) for n in (own, asking))
+        self.large = (self.own_blocks > 1) | (self.asking_blocks > 1)
+        groups = np.where(self.large, self.own_blocks * (self.own_blocks + self.asking_blocks), 1)
+        self.first = np.concatenate([[0], np.cumsum(groups)])
+        cell = np.repeat(np.arange(len(own)), groups)
+        mine, theirs = (own / self.own_blocks)[cell], (asking / self.asking_blocks)[cell]
+        work = (mine + theirs) * 20 + mine * (mine / 2 + theirs)
+        self.parts = int(max(least_parts, -(-(mine + theirs).sum() // rows_per_part), 1))
+        self.part = np.zeros(len(cell), np.int64)
+        loads = [(0.0, k) for k in range(self.parts)]
+        for g in np.argsort(-work, kind="stable"):
+            load, k = heapq.heappop(loads)
+            self.part[g] = k
+            heapq.heappush(loads, (load + float(work[g]), k))
+
+    def deal(self, cell: np.ndarray, record: np.ndarray, salt: np.ndarray, asking: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(group * 4 + kind, record) of every copy: within a large cell a record stands in one block and meets all blocks."""
+        plain = ~self.large[cell]
+        keys, records = [self.first[cell[plain]] * 4 + (ASKING if asking else OWN)], [record[plain]]
+        for c in np.unique(cell[~plain]):
+            at = np.flatnonzero(cell == c)
+            n, m, base = int(self.own_blocks[c]), int(self.asking_blocks[c]), int(self.first[c])
+            block = (salt[at] % np.uint64(m if asking else n)).astype(np.int64)
+            if asking:
+                copies = [(base + n * n + block * n + i) * 4 + ASKING for i in range(n)]
+            else:
+                copies = [(base + np.minimum(block, j) * n + np.maximum(block, j)) * 4 + np.where(block == j, OWN, np.where(block < j, ASKED, SECOND)) for j in range(n)]
+                copies += [(base + n * n + k * n + block) * 4 + ASKED for k in range(m)]
+            keys += copies
+            records += [record[at]] * len(copies)
+        return np.concatenate(keys), np.concatenate(records)
+
+
+def cell_sizes(assigned: DataFrame, cells: int, homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many records (with ``cells``, the ``homes`` first) live in each of ``cells`` cells, and how many others ask for it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asking = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        for b in batches:
+            _, place, flat = _flat(b.column(0))
+            own += np.bincount(flat[place < homes], minlength=cells)
+            asking += np.bincount(flat[place >= homes], minlength=cells)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(own), pa.array(asking)], ["cell", "own", "asking"])
 
-def placed(assigned: DataFrame, columns: list[str], block_rows: int) -> DataFrame | None:
-    """A row (``place``, ``columns``) for each record and cell, laid out so that a partition holds whole groups; None without any.
-
-    A cell of more than ``block_rows`` records is cut into blocks at random, and each pair of blocks is a group of its own,
-    so no task ever holds more than two blocks of a cell, however hot it is. ``place`` is cell, both blocks, and which of them holds the record.
-    """
-    spark = assigned.sparkSession
-    counts = assigned.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1).collect()  # as many rows as cells
-    if not counts:
-        return None
-    blocks = [0] * (max(r["cell"] for r in counts) + 1)
-    for r in counts:
-        blocks[r["cell"]] = -(-r["n"] // block_rows)
-    parts = max(shuffle_width(spark), -(-sum(r["n"] * blocks[r["cell"]] for r in counts) // 60_000))
-    per_cell = F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<int>")
-    place = ((F.col("cell").cast("bigint") * (1 << 20) + F.least("block", "other")) * (1 << 20) + F.greatest("block", "other")) * 2 + (F.col("block") > F.col("other")).cast("bigint")
-    return (
-        assigned.select(*columns, F.explode("cells").alias("cell"))
-        .withColumn("g", F.coalesce(F.get(per_cell, F.col("cell")), F.lit(0))).where("g > 0")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-        .select(*columns, "cell", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-        .select(place.alias("place"), *columns)
-        .repartition(parts, F.shiftright("place", 1))
-    )
+    own, asking = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    for r in assigned.select("cells").mapInArrow(run, "cell bigint, own bigint, asking bigint").groupBy("cell").agg(F.sum("own"), F.sum("asking")).collect():  # as many rows as cells
+        own[r[0]], asking[r[0]] = r[1], r[2]
+    return own, asking
 
 
-def groups_of(place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(records, left, right) of each group of a partition; left and right index the records, right is None within one block."""
-    order = np.argsort(place, kind="stable")
-    keys = place[order] >> 1
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    low = (1 << 20) - 1
-    for s, e in zip(new, np.append(new[1:], len(order))):
-        at = order[s:e]
-        if len(at) < 2:
-            continue
-        second = (place[at] & 1).astype(bool)
-        same = int(keys[s]) & low == (int(keys[s]) >> 20) & low
-        yield (at, np.arange(len(at)), None) if same else (at, np.flatnonzero(~second), np.flatnonzero(second))
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in its list, value) of all values."""
+    counts = lists.value_lengths().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts), lists.flatten().to_numpy().astype(np.int64)
 
 
-def cell_pairs(assigned: DataFrame, rule: Rule, *, universe: int, fold_words: int = 4, sigmas: float | None = None, block_rows: int = 32768) -> DataFrame:
-    """Pairs ``a < b`` of records (``rep``, ``code``, ``cells`` array<int>) that share a cell and hold ``rule``, each once."""
-    rows = placed(assigned, ["rep", "code"], block_rows)
-    if rows is None:
-        return assigned.sparkSession.createDataFrame([], PAIRS)
+def routed_pairs(assigned: DataFrame, cells: int, homes: int, rule: Rule, *, universe: int, block_rows: int = 32768, chunk: int = 40_000) -> DataFrame:
+    """Pairs ``a < b`` of records (``rep``, ``code``, ``cells`` array<int>, the ``homes`` first) of which one asks for a home cell of the other and whose folds
+    don't rule them out, each once or a few times.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each record lives in its home cells and asks in all of its cells. Number, size and fold travel, packed for each group of a cell and side into one
+    value; folds never differ in more bits than the sets do, so no pair that holds the rule is lost here. No task holds more than two
+    blocks of a cell at a time, however hot it is.
+    """
+    spark = assigned.sparkSession
+    grid = Grid(*cell_sizes(assigned, cells, homes), block_rows, shuffle_width(spark))
+    shared = spark.sparkContext.broadcast(grid)  # as many numbers as cells, and groups of hot ones
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = shared.value
+
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rep = whole_column(held, "rep").to_numpy()
+            entries = sketch_entries(rep, whole_column(held, "code"), universe)
+            row, place, flat = _flat(whole_column(held, "cells"))
+            salt = _mixed(rep.view(np.uint64))
+            dealt = [grid.deal(flat[side], row[side], salt[row[side]] >> np.uint64(shift), asking) for side, shift, asking in ((place < homes, 0, False), (place >= homes, 20, True))]
+            key, record = (np.concatenate(x) for x in zip(*dealt))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            data = entries[record[order]].view(np.uint8).reshape(-1)
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            offsets = np.append(new, len(key)).astype(np.int64) * ENTRY.itemsize
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(grid.part[key[new] >> 2].astype(np.int32)), pa.array(key[new]), blobs], ["part", "key", "entries"])
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= chunk:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rep, place = (whole_column(held, c).to_numpy() for c in ("rep", "place"))
-        words, sizes = bit_words(whole_column(held, "code"), universe)
-        out = []
-        for at, left, right in groups_of(place):
-            i, j, o = compare_block(words[at], sizes[at], left, right, rule, fold_words, sigmas)
-            out.append(np.stack([rep[at[i]], rep[at[j]], o, sizes[at[i]], sizes[at[j]]]))
+        key, blobs = whole_column(held, "key").to_numpy(), whole_column(held, "entries")
+        order, out = np.argsort(key, kind="stable"), []
+        ends_ = np.flatnonzero(np.concatenate([key[order][1:] >> 2 != key[order][:-1] >> 2, [True]])) + 1
+        start = 0
+        for end in ends_:
+            rows = order[start:end]
+            start = end
+            whole = np.concatenate([np.frombuffer(blobs[int(k)].as_buffer(), ENTRY) for k in rows])
+            kinds = np.repeat(key[rows] & 3, [len(blobs[int(k)].as_buffer()) // ENTRY.itemsize for k in rows])
+            own, asking, second, asked = (np.flatnonzero(kinds == k) for k in (OWN, ASKING, SECOND, ASKED))
+            fold, size, rep = np.ascontiguousarray(whole["fold"]), whole["size"].astype(np.int64), whole["rep"]
+            for left, right in ((own, None), (second, asked), (asking, np.concatenate([own, asked]))):
+                for i, j in near_pairs(fold, size, left, right, rule, None):
+                    a, b = rep[i], rep[j]
+                    near = (a != b) & (np.bitwise_count(fold[i] ^ fold[j]).sum(1) <= rule.most_apart(size[i].astype(float), size[j].astype(float)) + 1e-9)
+                    out.append(np.stack([np.minimum(a[near], b[near]), np.maximum(a[near], b[near])]))
         if out:
-            a, b, o, na, nb = np.concatenate(out, axis=1)
-            swap = a > b
-            flat = np.unique(np.stack([np.where(swap, b, a), np.where(swap, a, b), o, np.where(swap, nb, na), np.where(swap, na, nb)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), *(pa.array(x.astype(np.int32)) for x in flat[2:])], ["a", "b", "o", "na", "nb"])
+            flat = np.concatenate(out, axis=1)
+            order = np.lexsort((flat[1], flat[0]))
+            flat = flat[:, order]
+            fresh = np.concatenate([[True], (np.diff(flat, axis=1) != 0).any(0)]) if flat.shape[1] else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0, fresh]), pa.array(flat[1, fresh])], ["a", "b"])
 
-    return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("o", "na", "nb")])
+    laid = assigned.select("rep", "code", "cells").mapInArrow(pack, "part int, key bigint, entries binary")
+    return laid.repartitionById(grid.parts, F.col("part")).select("key", "entries").mapInArrow(meet, "a bigint, b bigint")
 
 
 def spread_out(sketched: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
@@ -397,12 +472,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, rule: Rule, universe: int) -> DataFrame:
-    """Of pairs (``a``, ``b``) those that hold the rule, with ``o``, ``na`` and ``nb``. Only codes of sets that are in a pair travel."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().persist()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    involved = distinct.select("rep", "code").join(ids, "rep", "left_semi").persist()
-    both = pairs.join(involved.select(F.col("rep").alias("a"), F.col("code").alias("xa")), "a").join(involved.select(F.col("rep").alias("b"), F.col("code").alias("xb")), "b")
+    """Of pairs (``a``, ``b``) those that hold the rule, with ``o``, ``na`` and ``nb``."""
+    codes = distinct.select("rep", "code")
+    both = pairs.join(codes.select(F.col("rep").alias("a"), F.col("code").alias("xa")), "a").join(codes.select(F.col("rep").alias("b"), F.col("code").alias("xb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
