@@ -69,7 +69,7 @@ def test_folds_never_differ_more_than_sets():
     r = np.random.default_rng(0)
     w = r.integers(0, 2**63, (50, 16)).astype(np.uint64) & r.integers(0, 2**63, (50, 16)).astype(np.uint64)
     apart = np.bitwise_count(w[:, None] ^ w[None]).sum(2)
-    for k in (1, 2, 4):
+    for k in (1, 2, 3, 4):
         f = S.folded(w, k)
         assert (np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= apart).all()
 

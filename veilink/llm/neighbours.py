@@ -3,7 +3,7 @@
 A bounded sample of vectors gives a graph of nearest neighbours, which is cut into parts of equal size that keep neighbours
 together. A small classifier (naive Bayes over positions, one weight for each position and part) learns the parts from
 the sample, and once more from a larger bounded sample that it has labelled itself. Every vector of the collection is stored in the two parts that
-are most probable for it and asks in several more. Folds of the bit vectors rule out what can't be similar enough without losing
+are most probable for it and asks in five more. Folds of the bit vectors rule out what can't be similar enough without losing
 any; what remains is reranked by the exact cosine.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, slots
+from ..session import checkpointed, release, slots
 from . import sets as S
 
 SAMPLE_ROWS = 16_384  # bound of the sample that the graph and the classifier are fitted on
@@ -178,7 +178,7 @@ def nearest(pairs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
 
 def nearest_rows(
     records: DataFrame, *, key: str = "row_id", column: str = "bf_indices", a: str = "row_a", b: str = "row_b", k: int = 5, least: float = 0.6,
-    universe: int = 1024, homes: int = 2, probes: int = 8, block_rows: int = 32768,
+    universe: int = 1024, homes: int = 2, probes: int = 7, block_rows: int = 32768,
 ) -> DataFrame:
     """Pairs of rows (``a`` < ``b``) with ``similarity`` (cosine, six decimals, at least ``least``) where one is among the ``k`` most
     similar of the other; all rows that tie with the k-th count. Each pair once.
@@ -196,7 +196,10 @@ def nearest_rows(
     rule = S.Rule("cosine", least)
     near = checkpointed(S.routed_pairs(assigned, len(fitted.bias), homes, rule, universe=universe, block_rows=block_rows).distinct())
     assigned.unpersist()
+    del assigned
+    release(spark)
     pairs = checkpointed(S.verified(near, distinct, rule, universe))
+    release(spark)
     copies = distinct.where("copies > 1").select("rep", "copies")
     kept = nearest(pairs, copies, k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
     members = S.copy_rows(encoded, distinct)
