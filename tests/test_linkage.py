@@ -2,14 +2,15 @@
 
 import itertools
 import random
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilink.functions.bloom import BloomFilter
-from veilink.operators.assign import assign
-from veilink.operators.crypto import LocalKeyProvider, decrypt_table, encrypt_table, new_key
+from veilink.operators.assign import assign, assign_sparse
+from veilink.operators.crypto import LocalKeyProvider, RsaKeyProvider, decrypt_table, encrypt_table, new_key
 from veilink.operators.embed import Embedded, Embedder, party_to_filters
 from veilink.operators.link import components, match, perform_matching, performance, private_index
 from veilink.operators.similarity import compare, compare_indexed
@@ -202,8 +203,42 @@ def test_encryption(spark):
     assert decrypt_table(encrypt_table(df.limit(0), key)[0], key, "ints int").count() == 0
     with pytest.raises(Exception):
         decrypt_table(hidden, new_key(), "ints int").collect()
-    p = LocalKeyProvider()
-    assert p.unwrap(p.wrap(key)) == key != p.wrap(key)
+    for p in (LocalKeyProvider(spark), RsaKeyProvider(spark)):
+        one, two = p.wrap(key), p.wrap(key)
+        assert p.unwrap(one) == key == p.unwrap(two) and one != two
+    rsa = RsaKeyProvider(spark)
+    public = RsaKeyProvider(spark, public=rsa.public)
+    assert rsa.unwrap(public.wrap(key)) == key
+    with pytest.raises(ValueError):
+        public.unwrap(public.wrap(key))
+
+
+def test_no_key_in_a_plan(spark):
+    df = spark.range(3)
+    hidden, key = encrypt_table(df)
+    for d in (hidden, decrypt_table(hidden, key, "id bigint")):
+        plan = d._jdf.queryExecution().toString()
+        assert key.hex().upper() not in plan.upper()
+
+
+def test_encrypted_link_job(spark, tmp_path, toy):
+    from veilink.plans.link_job import main
+
+    e, x, y = toy
+    provider, folder = RsaKeyProvider(spark), str(tmp_path)
+    keys = {}
+    for name, edf in (("one", x), ("two", y)):
+        keys[name] = new_key()
+        tables.write_encrypted(edf.anonymise(["id"]), folder, name, keys[name], provider, "data")
+    (tmp_path / "job.pem").write_text(provider.private)
+    (tmp_path / ".env").write_text(f"PARTY_1=one\nPARTY_2=two\nDATA_DIR={folder}\nPRODUCTION=1\nPRIVATE_KEY_FILE={tmp_path}/job.pem\n")
+    e.save(f"file://{folder}/embedder")
+    main(["--env", str(tmp_path / ".env"), "--embedder", f"file://{folder}/embedder", "--size", "10", "--schema", "id int, bf_indices array<int>, bf_norms double, thresholds double"])
+    out = {}
+    for name in keys:
+        payload = spark.read.schema("payload string").json(f"{folder}/{name}-output.json").select(F.unbase64("payload").alias("payload"))
+        out[name] = decrypt_table(payload, keys[name], "id int, private_index bigint")
+    assert sorted((r.a, r.b) for r in out["one"].select(F.col("id").alias("a"), "private_index").join(out["two"].select(F.col("id").alias("b"), "private_index"), "private_index").collect()) == [(0, 0), (1, 2), (2, 1)]
 
 
 def test_sources(spark, tmp_path, toy):
@@ -215,7 +250,13 @@ def test_sources(spark, tmp_path, toy):
         tables.write_party(x.anonymise(["id"]), str(tmp_path / f"out.{kind}"), kind)
         back = tables.read_embedded(spark, str(tmp_path / f"out.{kind}"), e, "id")
         assert {r.id: r.bf_indices for r in back.df.collect()} == {r.id: r.bf_indices for r in x.df.collect()}
-    tables.export_bundle(x, e, str(tmp_path / "bundle"))
+    tables.export_bundle(x, e, str(tmp_path / "bundle"), archive=str(tmp_path / "bundle.zip"))
+    shared = spark.read.csv(str(tmp_path / "bundle/data"), header=True)
+    assert shared.columns == ["id", "bf_indices", "bf_norms", "thresholds"] and shared.count() == 3
+    with zipfile.ZipFile(tmp_path / "bundle.zip") as z:
+        assert set(z.namelist()) == {"data.csv", "embedder/embedder.json"} and z.read("data.csv").decode().splitlines()[0] == "id,bf_indices,bf_norms,thresholds"
+    a, b = tables.sample_parties(spark, 50)
+    assert a.columns == b.columns and a.count() == 50 and a.join(b, a.columns).count() < 50 and a.join(b, "true_id").count() == 50
     assert tables.load_shared_embedder([str(tmp_path / "bundle/embedder")] * 2).checksum == e.checksum
     Embedder(BloomFilter(512)).save(str(tmp_path / "other"))
     with pytest.raises(ValueError):
@@ -246,3 +287,42 @@ def test_stream(spark, tmp_path, toy):
     assert done.count() == 1
     best = stream_static_matches(done.select("id", "bf_indices"), x, 0.5).collect()
     assert [(r.id1, r.id2) for r in best] == [(5, 0)]
+
+
+def test_sparse_assignment_is_as_good_as_the_dense_one():
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        n, m = r.integers(1, 9, 2)
+        w = np.where(r.random((n, m)) < r.random(), np.round(r.random((n, m)), r.integers(1, 4)), 0)
+        i, j = np.nonzero(w)
+        k = assign_sparse(i, j, w[i, j], n, m)
+        assert len(set(i[k])) == len(k) == len(set(j[k])) and abs(w[i[k], j[k]].sum() - w[assign(w)].sum()) < 1e-9
+
+
+def test_filters_of_any_size_on_a_file(spark, tmp_path):
+    import hashlib
+
+    spark.createDataFrame([(1, ["a", "bc", "ü"]), (2, None), (3, [])], "id int, f array<string>").write.parquet(str(tmp_path / "f"))
+    df = spark.read.parquet(str(tmp_path / "f"))
+    for size, offset in ((1000, 7), (1024, 0), (999_983, 3), (3, 0), (1 << 20, 1)):
+        b = BloomFilter(size, 2, offset, "s")
+        want = sorted({int.from_bytes(hashlib.sha256(f"{g}{i}s".encode()).digest(), "little") % size + offset for g in ("a", "bc", "ü") for i in (0, 1)})
+        got = {r.id: (r.x, r.c) for r in df.select("id", b.indices(F.col("f")).alias("x"), b.collision_fraction(F.col("f")).alias("c")).collect()}
+        assert got[1][0] == want and got[2] == got[3] == ([], 0.0)
+
+
+def test_thresholds_of_null_ids_and_repeats(spark):
+    e = Embedder()
+    df = spark.createDataFrame([(1, [1, 2, 2]), (None, [1, 2]), (2, [1, 2, 3]), (2**60 + 1, [9]), (2**60, [9])], "id bigint, bf_indices array<int>")
+    made = Embedded.from_df(df, e, "id", update_thresholds=True)
+    got = {r.id: (round(r.bf_norms, 6), r.thresholds) for r in made.df.collect()}
+    assert got[1][0] == got[None][0] == 1.414214 and got[None][1] is None
+    assert abs(got[1][1] - 2 / 6**0.5) < 1e-9 and got[2**60][1] == got[2**60 + 1][1] == 1.0
+    again = Embedded.from_df(made.df, e, "id", update_thresholds=True)  # a table that has thresholds already
+    assert {r.id: r.thresholds for r in again.df.collect()} == {k: v[1] for k, v in got.items()}
+
+
+def test_checksum_knows_functions():
+    one, two = (Embedder(factory={"own": f}) for f in (lambda **_: (lambda c: F.array(F.upper(c))), lambda **_: (lambda c: F.array(F.lower(c)))))
+    same = Embedder(factory={"own": lambda **_: (lambda c: F.array(F.upper(c)))})
+    assert one.checksum != two.checksum and one.checksum == same.checksum

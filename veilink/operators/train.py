@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,33 @@ def joint_frequencies(pairs: DataFrame, prob: bool = False) -> DataFrame:
     Null and empty lists add nothing; with ``prob`` counts are divided by the number of rows.
     """
     n = pairs.count() if prob else 1
-    both = pairs.select(F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
-    cells = both.select(F.explode("x").alias("i"), "y").select("i", F.explode("y").alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
-    flipped = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "n")
-    return cells.unionByName(flipped).groupBy("i", "j").agg((F.sum("n") / (2 * max(1, n))).alias("count"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((0, 0))
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                x, y = (_flat(b.column(c).slice(lo, 1024)) for c in (0, 1))
+                width = max(len(total), *(int(v.max(initial=-1)) + 1 for _, v in (x, y)))
+                if width > len(total):
+                    total = np.pad(total, (0, width - len(total)))
+                left, right = np.zeros((1024, width), np.float32), np.zeros((1024, width), np.float32)
+                left[x], right[y] = 1, 1
+                total += left.T @ right
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j].astype(np.int64))], ["i", "j", "n"])
+
+    # each partition multiplies its 0/1 matrices; only the cells of the products, at most width squared each, are shuffled
+    cells = pairs.select(F.col("x").cast("array<int>"), F.col("y").cast("array<int>")).mapInArrow(run, "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    both = cells.select(F.explode(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))).alias("c")).select("c.*")
+    return both.groupBy("i", "j").agg((F.sum("n") / (2 * max(1, n))).alias("count"))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values that aren't null."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    rows, values = np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+    known = np.asarray(values.is_valid())
+    return rows[known], np.asarray(values.drop_null()).astype(np.int64)
 
 
 def to_matrix(cells: DataFrame, width: int) -> np.ndarray:

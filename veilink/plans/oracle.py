@@ -61,6 +61,12 @@ def indices(features: str) -> str:
     return f"list_sort(list_distinct({raw_indices(features)}))"
 
 
+def odd_indices(features: str, size: int, offset: int) -> str:
+    """As ``indices`` for any size: the digest read last byte first, one digit after the other."""
+    value = f"list_reduce(list_prepend(0::BIGINT, list_transform(range(32, 0, -1), lambda k: ((strpos({HEX}, substr(h, (2 * k - 1)::BIGINT, 1)) - 1) * 16 + strpos({HEX}, substr(h, (2 * k)::BIGINT, 1)) - 1)::BIGINT)), lambda x, y: (x * 256 + y) % {size})"
+    return f"list_sort(list_distinct(list_transform(flatten(list_transform({features}, lambda g: [sha256(g || '0{SALT}'), sha256(g || '1{SALT}')])), lambda h: {value} + {offset})))"
+
+
 def text(x: str) -> str:
     return f"coalesce(array_to_string({x}, '|'), '')"
 
@@ -89,6 +95,10 @@ SUPPLIERS = f"""s AS (SELECT s_suppkey, s_name, s_nationkey::VARCHAR AS nation,
 FLAGSHIP = f"list_distinct({ngrams(tokens(lower('s_name')), 1, 2, 3, 4)} || {skip_grams(tokens(lower('s_name')))} || {misc('nation', 'nation')})"
 SELF = "SELECT l.k, max({sim}) AS th FROM {b} l JOIN {b} r ON l.k <> r.k GROUP BY l.k"
 
+# each supplier's most similar partner; these are all different, so together they are the best assignment
+BEST = f"""WITH {SUPPLIERS}, t1 AS ({SELF.format(sim=sim('l', 'r'), b='b1')}), t2 AS ({SELF.format(sim=sim('l', 'r'), b='b2')}),
+ m AS (SELECT l.k AS id1, arg_max(r.k, {sim('l', 'r')}) AS id2, max({sim('l', 'r')}) AS sim FROM b1 l CROSS JOIN b2 r GROUP BY l.k)"""
+
 ORACLE_SQL: dict[str, str] = {
     "feat_tokens": f"SELECT p_partkey, {text(tokens('p_name'))} AS tokens FROM part",
     "feat_ngrams": f"SELECT p_partkey, {text(ngrams(tokens('p_name'), 1, 2, 3))} AS grams FROM part",
@@ -101,6 +111,7 @@ ORACLE_SQL: dict[str, str] = {
     "feat_shingled": f"SELECT id, {text(shingled('instrument', 'instrument'))} AS features FROM (SELECT DISTINCT id, first_name, last_name, gender, date_of_birth, instrument, county FROM df1)",
     "feat_user": "SELECT p_partkey, upper(p_name) AS features FROM part",
     "bloom_indices": f"SELECT c_custkey, {text(indices(names('c_name')))} AS indices FROM customer",
+    "bloom_odd_size": f"SELECT c_custkey, {text(odd_indices(names('c_name'), 1000, 7))} AS indices FROM customer",
     "bloom_collisions": f"SELECT c_custkey, round(1 - len(list_distinct(r)) / len(r)::DOUBLE, 6) AS fraction FROM (SELECT c_custkey, {raw_indices(names('c_name'))} AS r FROM customer)",
     "embed_columns": f"WITH {EMBEDDED_A} SELECT id, len(f) AS features, {text('x')} AS indices, round(sqrt(len(x)::DOUBLE), 6) AS bf_norms FROM ea",
     "anonymised": f"WITH {EMBEDDED_A} SELECT id, county, {text('x')} AS indices, round(sqrt(len(x)::DOUBLE), 6) AS bf_norms FROM ea",
@@ -114,6 +125,12 @@ ORACLE_SQL: dict[str, str] = {
     "match_many": f"""WITH {EMBEDDED_A}, {EMBEDDED_B}, {bits('b1', 'ea', 'id')}, {bits('b2', 'eb', 'personid')},
  t1 AS ({SELF.format(sim=sim('l', 'r'), b='b1')}), t2 AS ({SELF.format(sim=sim('l', 'r'), b='b2')})
  SELECT l.k AS id1, r.k AS id2, round({sim('l', 'r')}, 6) AS sim FROM b1 l CROSS JOIN b2 r JOIN t1 ON t1.k = l.k JOIN t2 ON t2.k = r.k WHERE {sim('l', 'r')} >= 0.6 AND {sim('l', 'r')} >= t1.th AND {sim('l', 'r')} >= t2.th""",
+    "match_exact": f"{BEST} SELECT id1, id2, round(sim, 6) AS sim FROM m JOIN t1 ON t1.k = id1 JOIN t2 ON t2.k = id2 WHERE sim >= t1.th AND sim >= t2.th",
+    "matched_parties": f"{BEST} SELECT id1 AS s_suppkey, id2 AS other FROM m JOIN t1 ON t1.k = id1 JOIN t2 ON t2.k = id2 WHERE sim >= t1.th AND sim >= t2.th",
+    "csv_round_trip": "SELECT id, coalesce(first_name, '') AS first_name, coalesce(last_name, '') AS last_name, coalesce(gender, '') AS gender, coalesce(date_of_birth, '') AS date_of_birth, coalesce(instrument, '') AS instrument, coalesce(county, '') AS county FROM (SELECT DISTINCT id, first_name, last_name, gender, date_of_birth, instrument, county FROM df1)",
+    "json_round_trip": f"SELECT c_custkey, {text('x')} AS indices, round(sqrt(len(x)::DOUBLE), 6) AS bf_norms FROM (SELECT c_custkey, {indices(names('c_name'))} AS x FROM customer)",
+    "shared_bundle": f"SELECT c_custkey, {text(indices(names('c_name')))} AS indices, CAST(3 AS BIGINT) AS columns, true AS same_embedder FROM customer",
+    "saved_embedder": f"SELECT c_custkey, {text(indices(names('c_name')))} AS indices FROM customer",
     "private_index_invariants": "SELECT CAST(2 * count(*) AS BIGINT) AS records, CAST(2 AS BIGINT) AS most, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS outside FROM supplier",
     "match_performance": f"""WITH {SUPPLIERS}, m AS (SELECT l.k AS a, r.k - 1000000 AS b FROM b1 l CROSS JOIN b2 r WHERE {sim('l', 'r')} >= 0.9), n AS (SELECT count(*) AS possible FROM supplier)
  SELECT count(*) AS matches, count(*) FILTER (a = b) AS true_positives, count(*) FILTER (a <> b) AS false_positives, any_value(possible) AS possible,

@@ -12,10 +12,11 @@ from ..functions import features as X
 from ..functions.bloom import BloomFilter
 from ..operators.crypto import decrypt_table, encrypt_table
 from ..operators.embed import Embedded, Embedder, party_to_filters
-from ..operators.link import match, performance, private_index
+from ..operators.link import match, perform_matching, performance, private_index
 from ..operators.similarity import compare, compare_indexed
 from ..operators.train import joint_frequencies, train
 from ..session import read_table, shared_folder, spread
+from ..sources.tables import export_bundle, load_shared_embedder, read_embedded, read_party, write_party
 from ..streaming.embed_stream import embed_stream, write_stream
 from .oracle import ORACLE_SQL
 
@@ -120,7 +121,7 @@ def bloom_indices(spark, d):
 def bloom_odd_size(spark, d):
     """A size that isn't a power of two, with an offset: by whole digests."""
     f = X.name_features()(F.col("c_name"))
-    return read_table(spark, d, "customer").select("c_custkey", F.size(BloomFilter(1000, 2, 7, SALT).indices(f)).cast("bigint").alias("bits"))
+    return read_table(spark, d, "customer").select("c_custkey", joined(BloomFilter(1000, 2, 7, SALT).indices(f)).alias("indices"))
 
 
 def bloom_collisions(spark, d):
@@ -217,7 +218,7 @@ def encrypted_round_trip(spark, d):
 
 def embed_streamed(spark, d):
     """Customers as a stream of files, embedded and appended to a table."""
-    root = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    root = _folder(spark, "stream")
     source = f"{d}/customer.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "customer.parquet").parquet(d)
     done = embed_stream(stream.select("c_custkey", "c_name"), embedder(), {"c_name": "name"}, "c_custkey")
@@ -225,12 +226,57 @@ def embed_streamed(spark, d):
     return spark.read.parquet(f"{root}/data").select("c_custkey", joined(F.col("bf_indices")).alias("indices"), F.round("bf_norms", 6).alias("bf_norms"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(spark, d):
+    """Party A written as CSV and read again: strings, nulls as empty strings."""
+    at = f"{_folder(spark, 'csv')}/a.csv"
+    write_party(party_a(spark, d), at, "csv")
+    return read_party(spark, at).select(F.col("id").cast("int").alias("id"), *SPEC_A)
+
+
+def json_round_trip(spark, d):
+    """Anonymised filters of customers written as JSON and tied to their embedder again."""
+    at = f"{_folder(spark, 'json')}/c.json"
+    made = embedder().embed(read_table(spark, d, "customer"), {"c_name": "name"}, "c_custkey")
+    write_party(made.anonymise(["c_custkey"]), at, "json")
+    back = read_embedded(spark, at, embedder(), "c_custkey")
+    return back.df.select("c_custkey", joined(F.col("bf_indices")).alias("indices"), F.round("bf_norms", 6).alias("bf_norms"))
+
+
+def shared_bundle(spark, d):
+    """What a party's bundle holds: the id, filters and norms of each record, and an embedder of the same checksum."""
+    folder, e = _folder(spark, "bundle"), embedder()
+    export_bundle(e.embed(read_table(spark, d, "customer"), {"c_name": "name"}, "c_custkey"), e, folder)
+    same = load_shared_embedder([f"{folder}/embedder"] * 2).checksum == e.checksum
+    back = read_party(spark, f"{folder}/data", "csv")
+    return back.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), F.array_join(F.from_json("bf_indices", "array<int>"), "|").alias("indices"), F.lit(len(back.columns)).cast("bigint").alias("columns"), F.lit(same).alias("same_embedder"))
+
+
+def saved_embedder(spark, d):
+    """An embedder saved and loaded again by URI makes the same filters."""
+    folder = _folder(spark, "embedder")
+    embedder().save(folder if "://" in folder else f"file://{folder}")
+    back = Embedder.load(folder if "://" in folder else f"file://{folder}", salt=SALT)
+    return back.embed(read_table(spark, d, "customer"), {"c_name": "name"}, "c_custkey").df.select("c_custkey", joined(F.col("bf_indices")).alias("indices"))
+
+
+def matched_parties(spark, d):
+    """Two embedded tables through the whole job: records that share a private index afterwards."""
+    e1, e2 = supplier_pairs(spark, d)
+    out1, out2, _ = perform_matching(e1.anonymise(["s_suppkey"]), e2.anonymise(["other"]), embedder(), "s_suppkey", "other", 100_000)
+    return out1.select("s_suppkey", "private_index").join(out2.select("other", "private_index"), "private_index").select("s_suppkey", "other")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         embed_flagship, feat_tokens, feat_ngrams, feat_skip_grams, feat_double_metaphone, feat_strings, feat_names, feat_sex, feat_dates, feat_misc, feat_shingled, feat_user,
         bloom_indices, bloom_odd_size, bloom_collisions, embed_columns, anonymised, thresholds, compare_pairs, compare_all, compare_by_index, match_many, match_exact, match_sparse,
         private_index_invariants, match_performance, joint_freq, trained_scores, encrypted_round_trip, embed_streamed,
+        csv_round_trip, json_round_trip, shared_bundle, saved_embedder, matched_parties,
     )
 }
 __all__ = ["QUERIES", "ORACLE_SQL", "embed_flagship"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the files of shuffles go that nothing refers to any more. Spark deletes them when the driver's JVM collects garbage, which it does seldom by
+    itself; this asks for it, so that a query of several steps doesn't hold the shuffles of all of them on disk at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master, an error on a cluster without the setting."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

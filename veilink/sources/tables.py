@@ -40,7 +40,7 @@ def read_party(spark: SparkSession, path: str, kind: str | None = None) -> DataF
 def write_party(df: DataFrame, path: str, kind: str = "parquet") -> None:
     if kind == "csv":  # lists as JSON text
         df = df.selectExpr(*[f"to_json(`{c}`) AS `{c}`" if t.startswith("array") else f"`{c}`" for c, t in df.dtypes])
-        df.write.mode("overwrite").csv(path, header=True)
+        df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif kind in ("json", "parquet"):
         df.write.mode("overwrite").format(kind).save(path)
     else:
@@ -62,7 +62,7 @@ def export_bundle(edf: Embedded, embedder: Embedder, folder: str, keep: list[str
     if archive is not None:
         spark = edf.df.sparkSession
         one = f"{folder}/data-one"  # a single file, so that it has a single header
-        spark.read.csv(f"{folder}/data", header=True).coalesce(1).write.mode("overwrite").csv(one, header=True)
+        spark.read.csv(f"{folder}/data", header=True, multiLine=True, escape='"').coalesce(1).write.mode("overwrite").csv(one, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         names = [n for n in ("embedder.json", "scm.npy", "matched.npy", "unmatched.npy") if exists(f"{folder}/embedder/{n}")]
         write_zip(archive, {"data.csv": list(parts_of(one)), **{f"embedder/{n}": [f"{folder}/embedder/{n}"] for n in names}})
 
