@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, release
 from . import sets as S
 
 
@@ -65,7 +65,7 @@ def n_cells(sets: int, rows_per_cell: int, most: int) -> int:
 
 def similar_sets(
     records: DataFrame, *, key: str = "row_id", column: str = "bf_indices", threshold: float = 0.7, universe: int = 1024,
-    replicas: int = 10, rows_per_cell: int = 500, most_pivots: int = 4096, block_rows: int = 32768,
+    replicas: int = 10, rows_per_cell: int = 2000, most_pivots: int = 1024, block_rows: int = 32768,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives ``a``, ``b`` with ``o``, ``na``, ``nb``; members ``rep``, ``row`` of sets in several rows).
 
@@ -94,7 +94,10 @@ def similar_sets(
             out += [c if i else c * 4 for c, i in zip(cells, ~whole)]
         return out
 
-    near = checkpointed(S.sketch_pairs(S.map_sketches(distinct, route, universe).persist(), rule, block_rows=block_rows))
+    sketched = S.map_sketches(distinct, route, universe).persist()
+    near = checkpointed(S.sketch_pairs(sketched, rule, block_rows=block_rows))
+    sketched.unpersist()
+    release(records.sparkSession)
     return checkpointed(S.verified(near, distinct, rule, universe)), S.copy_rows(encoded, distinct)
 
 

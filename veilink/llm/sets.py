@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
+from ..session import checkpointed, release, shuffle_width
 
 FOLD_WORDS = 4  # words of a fold that travels: 256 bits rule out nearly all pairs that a cosine of 0.6 would
 BROADCAST_ROWS = 1_000_000  # ids or pairs that may be sent to all executors; more are joined by shuffles
@@ -338,61 +338,111 @@ def routed_pairs(assigned: DataFrame, cells: int, homes: int, rule: Rule, *, uni
     return laid.repartitionById(grid.parts, F.col("part")).select("key", "entries").mapInArrow(meet, "a bigint, b bigint")
 
 
-def spread_out(sketched: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
-    """As ``placed``, for cells that are any number of 64-bit values: only cells of over ``block_rows`` records come to the driver.
+COPY = np.dtype([("key", "<u4"), ("size", "<u2"), ("rep", "<i8"), ("fold", "<u8", (2,))])
+HOT_BUCKETS = 1 << 17  # classes of cells that are counted first; only cells of large classes are counted one by one
 
-    Bit 0 of ``place`` is the side, bit 1 says that the group compares two blocks, the rest is a hash. Groups whose hashes collide are
-    compared as one, which loses nothing.
-    """
-    cells = sketched.select(F.explode("cells").alias("cell"))
-    bucket = F.pmod("cell", F.lit(1 << 17))
-    counts = cells.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).persist()
+
+def hot_cells(sketched: DataFrame, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cells of over ``block_rows`` records with the number of blocks they are cut into (fewer than copies / block_rows come to the driver), and the number of copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(HOT_BUCKETS, np.int64)
+        for b in batches:
+            counts += np.bincount(np.asarray(b.column(0).flatten()) & (HOT_BUCKETS - 1), minlength=HOT_BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+
+    counts = checkpointed(sketched.select("cells").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     warm = counts.where(F.col("n") > block_rows).select("bucket")
-    hot = cells.withColumn("bucket", bucket).join(F.broadcast(warm), "bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("cell", F.ceil(F.col("n") / block_rows).alias("g"))
-    hot_rows = hot.collect()  # fewer than copies / block_rows
-    counts.unpersist()
-    few = sketched.sparkSession.createDataFrame([tuple(r) for r in hot_rows], "cell bigint, g bigint")
-    copies = sketched.select(*columns, F.explode("cells").alias("cell"))
-    copies = copies.join(F.broadcast(few), "cell", "left").withColumn("g", F.coalesce("g", F.lit(1))) if hot_rows else copies.withColumn("g", F.lit(1))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    group = F.when(F.col("g") == 1, F.col("cell")).otherwise(F.xxhash64("cell", low, high))
-    place = group.bitwiseAND(F.lit(-4)) + F.when(low == high, 0).when(F.col("block") > F.col("other"), 3).otherwise(2)
-    return (
-        copies.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g"))).select(*columns, "cell", "g", "block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-        .select(place.alias("place"), *columns)
-        .repartition(max(shuffle_width(sketched.sparkSession), -(-total // 150_000)), F.shiftright("place", 1))
-    )
-
-
-def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, small: int = 48) -> DataFrame:
+    if warm.isEmpty():
+        return np.empty(0, np.int64), np.empty(0, np.int64), total
+    cells = sketched.select(F.explode("cells").alias("cell")).withColumn("bucket", F.col("cell").bitwiseAND(HOT_BUCKETS - 1))
+    hot = cells.join(F.broadcast(warm), "bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).collect()
+    hot.sort()
+    return np.array([r[0] for r in hot], np.int64), np.array([-(-r[1] // block_rows) for r in hot], np.int64), total
+
+
+def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, small: int = 48, rounds: int = 4, chunk: int = 40_000) -> DataFrame:
     """Pairs ``a < b`` of (``rep``, ``size``, ``f0``, ``f1``, ``cells``) that share a cell and whose folds don't rule them out, each once.
 
-    Only a 128-bit fold and the size travel to the cells. The fold never differs in more bits than the sets do in elements, so no pair
-    that holds the rule is lost here; nearly all others are. Groups of up to ``small`` records are compared all at once, one distance in the
-    order after the other; larger ones tile by tile.
+    Only a 128-bit fold and the size travel to the cells, packed for each partition into one value; and only those of one class of cells at a time, so that
+    of the many copies of a record a fraction is on disk at once. The fold never differs in more bits than the sets do in elements, so no pair
+    that holds the rule is lost here; nearly all others are. A cell of over ``block_rows`` records is cut into blocks, and each pair of blocks is a group of
+    its own. Cells whose keys collide are compared as one, which loses nothing. Groups of up to ``small`` records are compared all at once, one distance in
+    the order after the other; larger ones tile by tile.
     """
-    rows = spread_out(sketched, ["rep", "size", "f0", "f1"], block_rows)
+    spark = sketched.sparkSession
+    hot, blocks, total = hot_cells(sketched, block_rows)
+    shared = spark.sparkContext.broadcast((hot, blocks))
+    parts = max(shuffle_width(spark), -(-total // (rounds * 200_000)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+    def pack(turn: int):
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rep, size, f0, f1 = (whole_column(held, c).to_numpy() for c in ("rep", "size", "f0", "f1"))
+            row, _, cell = _flat(whole_column(held, "cells"))
+            mine = _mixed(cell.view(np.uint64)) % np.uint64(rounds) == turn
+            row, cell = row[mine], cell[mine]
+            side = np.zeros(len(cell), np.uint32)  # 2: a pair of blocks; 1: of the second block
+            hot, blocks = shared.value
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+                warm = hot[at] == cell
+                rows, cells, sides = [row[~warm]], [cell[~warm]], [side[~warm]]
+                r, c, g = row[warm], cell[warm], blocks[at[warm]]
+                block = (_mixed(rep[r].view(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
+                for other in range(int(g.max(initial=0))):
+                    k = np.flatnonzero(g > other)
+                    low, high = np.minimum(block[k], other), np.maximum(block[k], other)
+                    rows.append(r[k])
+                    cells.append(_mixed(c[k].view(np.uint64) ^ _mixed((low * (1 << 20) + high).view(np.uint64))).view(np.int64))
+                    sides.append(np.where(low == high, 0, 2 + (block[k] > other)).astype(np.uint32))
+                row, cell, side = (np.concatenate(x) for x in (rows, cells, sides))
+            key = cell.view(np.uint64)
+            part = ((key >> np.uint64(34)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            row, part = row[order], part[order]
+            data = np.empty(len(row), COPY)
+            data["key"], data["size"], data["rep"] = ((key[order] & np.uint64(0x3FFFFFFF)) << np.uint64(2)).astype(np.uint32) | side[order], size[row], rep[row]
+            data["fold"][:, 0], data["fold"][:, 1] = f0[row].view(np.uint64), f1[row].view(np.uint64)
+            new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+            offsets = np.append(new, len(part)).astype(np.int32) * COPY.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.view(np.uint8).reshape(-1))])
+            return pa.RecordBatch.from_arrays([pa.array(part[new]), blobs], ["part", "copies"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for b in batches:
+                if b.num_rows:
+                    held.append(b)
+                    n += b.num_rows
+                if n >= chunk:
+                    yield packed(held)
+                    held, n = [], 0
+            if held:
+                yield packed(held)
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x.as_buffer(), COPY) for b in batches for x in b.column(0)]
         if not held:
             return
-        rep, place, size, f0, f1 = (whole_column(held, c).to_numpy() for c in ("rep", "place", "size", "f0", "f1"))
-        order = np.argsort(place, kind="stable")
-        rep, place, size = rep[order], place[order], size[order].astype(np.int64)
-        folds, out = np.stack([f0[order], f1[order]], axis=1).view(np.uint64), []
+        copies = np.concatenate(held)
+        copies = copies[np.argsort(copies["key"])]
+        key, rep, size, folds, out = copies["key"], copies["rep"].copy(), copies["size"].astype(np.int64), np.ascontiguousarray(copies["fold"]), []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             near = np.bitwise_count(folds[i] ^ folds[j]).sum(1) <= rule.most_apart(size[i].astype(float), size[j].astype(float)) + 1e-9
             a, b = rep[i[near]], rep[j[near]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-
-        key = place >> 1
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        lengths = np.diff(np.append(new, len(key)))
-        few = (lengths <= small) & (key[new] & 1 == 0)
-        left = np.repeat(np.where(few, lengths, 0), lengths) - (np.arange(len(key)) - np.repeat(new, lengths)) - 1  # records that follow in the group
+            other = a != b
+            out.append(np.stack([np.minimum(a, b)[other], np.maximum(a, b)[other]]))
+
+        group = key >> 1
+        new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        lengths = np.diff(np.append(new, len(group)))
+        few = (lengths <= small) & (group[new] & 1 == 0)
+        left = np.repeat(np.where(few, lengths, 0), lengths) - (np.arange(len(group)) - np.repeat(new, lengths)) - 1  # records that follow in the group
         at = np.flatnonzero(left > 0)
         for step in range(1, small):
             at = at[left[at] >= step]
@@ -401,15 +451,24 @@ def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, sm
             keep(at, at + step)
         for s, n in zip(new[~few], lengths[~few]):
             at = np.arange(s, s + n)
-            within, second = key[s] & 1 == 0, (place[at] & 1).astype(bool)
-            mine = np.ascontiguousarray(folds[at])
-            for i, j in near_pairs(mine[:, :1], size[at], at - s if within else np.flatnonzero(~second), None if within else np.flatnonzero(second), rule, None):
+            within, second = group[s] & 1 == 0, (key[at] & 1).astype(bool)
+            mine = folds[at]
+            for i, j in near_pairs(mine, size[at], at - s if within else np.flatnonzero(~second), None if within else np.flatnonzero(second), rule, None):
                 keep(at[i], at[j])
         if out:
-            flat = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], ["a", "b"])
+            flat = np.concatenate(out, axis=1)
+            flat = flat[:, np.lexsort((flat[1], flat[0]))]
+            fresh = np.concatenate([[True], (np.diff(flat, axis=1) != 0).any(0)]) if flat.shape[1] else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0, fresh]), pa.array(flat[1, fresh])], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    found = None
+    for turn in range(rounds):
+        laid = sketched.mapInArrow(pack(turn), "part int, copies binary").repartitionById(parts, F.col("part")).select("copies")
+        some = checkpointed(laid.mapInArrow(meet, "a bigint, b bigint"))
+        found = some if found is None else found.unionByName(some)
+        del laid
+        release(spark)
+    return found.distinct()
 
 
 class Segments:
@@ -432,7 +491,7 @@ class Segments:
         while high >= 1:
             low = high // 2 + 1
             apart = self.apart(np.array([high]), high)[0]
-            m = int(apart + 2 + apart // 16)
+            m = int(apart + 1 + apart // 32)
             self.bands.append((low, high, m, by_count % m))
             high = low - 1
         r = np.random.default_rng(0)
