@@ -49,7 +49,9 @@ def brute_spans(rows, least):
 @pytest.mark.parametrize("seed,least,seeds", [(3, 200, 32), (4, 60, 12), (5, 31, 8)])
 def test_shared_spans(spark, seed, least, seeds):
     rows = documents(seed)
-    got = [tuple(r) for r in spans.shared_spans(spark.createDataFrame(rows, DOCS), min_chars=least, seed_chars=seeds).collect()]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [tuple(r) for r in spans.shared_spans(docs, min_chars=least, seed_chars=seeds).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in spans.shared_spans(docs, min_chars=least, seed_chars=seeds, group_pieces=1, task_chars=500).collect())  # all groups hot
     assert len(got) == len(set(got)) and set(got) == brute_spans(rows, least)
 
 
@@ -102,8 +104,19 @@ def test_found_lookalikes(spark):
     names = spark.createDataFrame([(10, "first", "Rosa"), (11, "first", "Rosa"), (12, "last", "Cruz"), (13, None, None)], "name_id int, kind string, listed_name string")
     assert {tuple(r) for r in lookalike.found_lookalikes(people, names).collect()} == {(1, "first_name", 10), (4, "last_name", 12)}
     assert lookalike.found_lookalikes(people.limit(0), names).count() == 0 and lookalike.found_lookalikes(people, names.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        lookalike.repair_values(people.select(F.lit("first").alias("kind"), F.col("first_name").alias("value")), names, largest=1)
+    # seven tokens, each with a form in several scripts, the last listed in Greek
+    wide = spark.createDataFrame([(1, "ＡＢ ＡＢ ＡＢ ＡＢ ＡＢ ＡＢ ＡＢ")], "id int, first_name string").withColumn("last_name", F.lit(None).cast("string"))
+    greek = spark.createDataFrame([(7, "first", "AB AB AB AB AB AB ΑΒ"), (8, "first", "AB AB")], "name_id int, kind string, listed_name string")
+    assert [tuple(r) for r in lookalike.found_lookalikes(wide, greek).collect()] == [(1, "first_name", 7)]
+
+
+def test_repairs_by_join_equal_repairs_one_by_one(spark):
+    words = ["Rosa", "Rоза", "AB", "ΑΒ", "de la Cruz", "O'Neil", "Νίκος"]
+    values = ["Rоsa", "Ｒosa", "Rosa", "АB", "AΒ", "de lа Cruz", "O＇Neil", "x", "", "Nίκος", "ΑB ΑΒ"]
+    df = spark.createDataFrame([("first", v) for v in values] * 2 + [("last", "Rоsa"), ("first", None)], "kind string, value string")
+    names = spark.createDataFrame([("first", w) for w in words] + [("first", None)], "kind string, listed_name string")
+    got = {(r.kind, r.value): r.repaired for r in lookalike.repair_values(df, names).collect()}
+    assert got == {**{("first", v): lookalike.repair(v, set(words)) for v in values}, ("last", "Rоsa"): "Rоsa"}
 
 
 def test_budgets_go_to_siblings_first():

@@ -9,10 +9,9 @@ tried in the other scripts the same way; a token that is itself in the vocabular
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,55 +91,90 @@ def forms_of(token: str) -> list[str]:
     return list(made) or [token]
 
 
+@lru_cache(maxsize=1)
+def classes() -> dict[str, str]:
+    """Letter -> the first letter of all that look like it, directly or through others."""
+    first: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while first.get(c, c) != c:
+            c = first[c]
+        return c
+
+    for row in LOOKALIKES:
+        letters = [unicodedata.normalize("NFD", c)[0] for c in row if c != " "]
+        for c in letters[1:]:
+            low, high = sorted((top(letters[0]), top(c)))
+            first[high] = low
+    return {c: top(c) for c in first}
+
+
+def skeleton(seen: str) -> str:
+    """One text for all visible forms that differ by look-alike letters only: equal where a repair is possible, and seldom otherwise."""
+    same = classes()
+    return unicodedata.normalize("NFC", "".join(same.get(c, c) for c in unicodedata.normalize("NFD", seen)))
+
+
+def tokens_of(seen: str) -> list[str]:
+    """Runs between spaces, hyphens and apostrophes, and these."""
+    return re.findall(r"[^ \-']+|[ \-']", seen)
+
+
+def repair_rank(seen: str, listed: str) -> tuple[int, ...] | None:
+    """Which of its forms each token of ``seen`` must take to give ``listed``, the dominant script's form being 0; None if that can't be."""
+    mine, theirs = tokens_of(seen), tokens_of(listed)
+    if len(mine) != len(theirs):
+        return None
+    rank = []
+    for a, b in zip(mine, theirs):
+        forms = forms_of(a)
+        if b not in forms:
+            return None
+        rank.append(forms.index(b))
+    return tuple(rank)
+
+
 def repair(value: str | None, vocabulary: set[str] | frozenset[str]) -> str | None:
     """The form of ``value`` that stands in ``vocabulary``, or its visible form if none does. Null stays null.
 
-    Tokens are runs between spaces, hyphens and apostrophes; each has at most one form for each script, and whole values are
-    tried in the order of their tokens' dominant scripts.
+    Each token has at most one form for each script; of several listed forms the one counts whose tokens are nearest to their dominant scripts,
+    from the first token on.
     """
     if value is None or value in vocabulary:
         return value
     seen = visible_form(value)
     if seen in vocabulary:
         return seen
-    tokens, start = [], 0
-    for i, ch in enumerate(seen + " "):
-        if ch in " -'":
-            tokens.extend(([forms_of(seen[start:i])] if i > start else []) + [[ch]])
-            start = i + 1
-    tokens.pop()  # the space added
-    size = 1
-    for forms in tokens:
-        size *= len(forms)
-    if size <= 4096:  # at most six tokens that exist in four scripts each; longer values are tried script by script
-        tried: Iterable[tuple[str, ...]] = product(*tokens)
-    else:
-        tried = (tuple(forms[min(k, len(forms) - 1)] for forms in tokens) for k in range(len(SCRIPTS)))
-    return next((made for t in tried if (made := "".join(t)) in vocabulary), seen)
-
-
-def repair_values(values: DataFrame, vocabulary: DataFrame, *, value: str = "value", group: str = "kind", listed: str = "listed_name", largest: int = 2_000_000) -> DataFrame:
-    """Distinct (``group``, ``value``) with ``repaired``: the consistent form.
-
-    ``vocabulary`` has (``group``, ``listed``); it goes to every executor, after a check that it has at most ``largest``
-    rows. Null values are left out, empty ones give an empty form; repeated rows give one row. Values of a group without
+    bones = skeleton(seen)
+    fits = [(rank, name) for name in vocabulary if skeleton(name) == bones and (rank := repair_rank(seen, name)) is not None]
+    return min(fits)[1] if fits else seen
+
+
+def repair_values(values: DataFrame, vocabulary: DataFrame, *, value: str = "value", group: str = "kind", listed: str = "listed_name") -> DataFrame:
+    """Distinct (``group``, ``value``) with ``repaired``: the consistent form, as ``repair`` gives it.
+
+    ``vocabulary`` has (``group``, ``listed``) and may be of any size: values meet the listed names that have the same skeleton by a join, and no table goes
+    to all executors. Null values are left out, empty ones give an empty form; repeated rows give one row. Values of a group without
     vocabulary only get their visible form.
     """
-    names = vocabulary.select(group, listed).where(F.col(listed).isNotNull()).distinct().limit(largest + 1).collect()
-    if len(names) > largest:
-        raise ValueError(f"the vocabulary has over {largest} rows; split it by group")
-    known: dict[str, set[str]] = {}
-    for g, name in names:
-        known.setdefault(g, set()).add(name)
-    shared = values.sparkSession.sparkContext.broadcast(known)
-
-    @F.pandas_udf("string")
-    def fixed(g: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([repair(x, shared.value.get(k, frozenset())) for k, x in zip(g, v)], dtype=object)
-
-    # most values are listed as they stand or plain; only distinct ones reach Python
-    distinct = values.select(group, value).where(F.col(value).isNotNull()).distinct()
-    return distinct.withColumn("repaired", fixed(F.col(group), F.col(value)))
+
+    @F.pandas_udf("struct<seen:string,bones:string>")
+    def looks(v: pd.Series) -> pd.DataFrame:
+        seen = [visible_form(x) for x in v]
+        return pd.DataFrame({"seen": seen, "bones": [skeleton(x) for x in seen]})
+
+    @F.pandas_udf("array<int>")
+    def ranked(seen: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([None if n is None else [-1] if n == s else repair_rank(s, n) for s, n in zip(seen, name)], dtype=object)
+
+    distinct = values.select(group, value).where(F.col(value).isNotNull()).distinct().withColumn("_looks", looks(F.col(value))).select(group, value, "_looks.seen", "_looks.bones")
+    names = vocabulary.select(F.col(group).alias("_group"), F.col(listed).alias("_listed")).where(F.col("_listed").isNotNull()).distinct().withColumn("_looks", looks(F.col("_listed")))
+    names = names.select("_group", "_listed", F.col("_looks.bones").alias("_bones"))
+    met = distinct.join(names, (F.col(group) == F.col("_group")) & (F.col("bones") == F.col("_bones")), "left")
+    # a value that is listed as it stands stays; else its visible form, if listed; else the best form
+    tried = met.withColumn("_rank", F.when(F.col("_listed") == F.col(value), F.array(F.lit(-2))).otherwise(ranked(F.col("seen"), F.col("_listed")).cast("array<int>")))
+    best = F.min(F.when(F.col("_rank").isNotNull(), F.struct(F.col("_rank"), F.col("_listed"))))
+    return tried.groupBy(group, value).agg(best.alias("_best"), F.first("seen").alias("_seen")).select(group, value, F.coalesce("_best._listed", "_seen").alias("repaired"))
 
 
 def found_lookalikes(people: DataFrame, name_list: DataFrame, *, key: str = "id", fields: dict[str, str] | None = None) -> DataFrame:

@@ -30,9 +30,13 @@ class Node:
     path: tuple
     weight: float
     capacity: float = 0.0
-    children: list["Node"] = field(default_factory=list)
+    by_path: dict[tuple, "Node"] = field(default_factory=dict)
     budget: float = 0.0
 
+    @property
+    def children(self) -> list["Node"]:
+        return list(self.by_path.values())
+
 
 def pour(node: Node, amount: float) -> None:
     """Give ``amount`` to a node: by weight to its children, a child's shortage to its siblings by weight."""
@@ -42,15 +46,15 @@ def pour(node: Node, amount: float) -> None:
     while open_ and left > 1e-9:
         total = sum(c.weight for c in open_)
         parts = [(c, left * (c.weight / total if total > 0 else 1 / len(open_))) for c in open_]
-        full = [c for c, part in parts if given[id(c)] + part >= c.capacity - 1e-9]
+        full = {id(c): c for c, part in parts if given[id(c)] + part >= c.capacity - 1e-9}
         if not full:
             for c, part in parts:
                 given[id(c)] += part
             left = 0.0
-        for c in full:
+        for c in full.values():
             left -= c.capacity - given[id(c)]
             given[id(c)] = c.capacity
-            open_.remove(c)
+        open_ = [c for c in open_ if id(c) not in full]
     for c in node.children:
         pour(c, given[id(c)])
 
@@ -67,10 +71,9 @@ def budgets(leaves: list[tuple[tuple, int]], targets: dict, repeats: dict, total
             continue
         node = root
         for depth in range(1, len(path) + 1):
-            child = next((c for c in node.children if c.path == path[:depth]), None)
+            child = node.by_path.get(path[:depth])
             if child is None:
-                child = Node(path[:depth], float(targets[path[0]]) if depth == 1 else 0.0)
-                node.children.append(child)
+                child = node.by_path[path[:depth]] = Node(path[:depth], float(targets[path[0]]) if depth == 1 else 0.0)
             if depth > 1:
                 child.weight += tokens
             node = child
@@ -102,11 +105,13 @@ def budgets(leaves: list[tuple[tuple, int]], targets: dict, repeats: dict, total
 
 def mix_sources(
     documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", levels: tuple[str, ...] = ("source", "lang"),
-    total_tokens: int | None = None, seed: int = 17, tokenizer: str | None = None,
+    total_tokens: int | str | None = None, seed: int = 17, tokenizer: str | None = None,
 ) -> DataFrame:
     """One row for each record used: its key, ``levels``, ``n_tokens``, ``copies`` (times used, never over the cap), and of its
     source ``target_share`` and ``reached_share``.
 
+    ``total_tokens`` defaults to the most at which the targets are met exactly; ``"all"`` stands for the tokens of all targeted records: then sources
+    whose cap is too small fall short, and what they can't give goes to siblings first.
     Records of null or empty text have no tokens and are never used; records whose source is null or without a
     target aren't either. A target without records is shared out among the others. A null language is a leaf of its
     own. A repeated row is a record of its own. Ties of the seeded hash are ordered by key. Empty tables
@@ -117,14 +122,16 @@ def mix_sources(
     goal = targets.where(F.col(first).isNotNull()).groupBy(first).agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     wanted = {r[0]: (r[1] or 0.0, r[2] or 0) for r in goal.collect()}
     sized = checkpointed(
-        count_tokens(documents.where(F.col(first).isNotNull()), text, out="n_tokens", tokenizer=tokenizer)
+        # a text that isn't empty has tokens; a filter on their number would count them twice
+        count_tokens(documents.where(F.col(first).isNotNull() & (F.length(text) > 0)), text, out="n_tokens", tokenizer=tokenizer)
         .select(key, *levels, F.col("n_tokens").cast("bigint").alias("n_tokens"))
         .join(F.broadcast(goal.select(first)) if len(wanted) < 100_000 else goal.select(first), first, "left_semi")
-        .where("n_tokens > 0")
     )
     leaf = [F.col(c) for c in levels]
     leaves = [(tuple(r[c] for c in levels), r["tokens"]) for r in sized.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")).collect()]
     shares = {s: w for s, (w, _) in wanted.items()}
+    if total_tokens == "all":
+        total_tokens = sum(t for path, t in leaves if shares.get(path[0]))
     budget = budgets(leaves, shares, {s: m for s, (_, m) in wanted.items()}, total_tokens)
     available = dict(leaves)
     plan = [(*path, int(b // available[path]), float(b - available[path] * (b // available[path]))) for path, b in budget.items()]
@@ -136,7 +143,7 @@ def mix_sources(
     for c in levels:
         same_leaf = same_leaf & F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}"))
     placed = (
-        sized.alias("s").join(F.broadcast(planned).alias("p"), same_leaf)
+        sized.alias("s").join((F.broadcast(planned) if len(plan) < 100_000 else planned).alias("p"), same_leaf)
         .select(*[F.col(f"s.{c}").alias(c) for c in sized.columns], "epochs", "rest")
         .withColumn("rank", F.xxhash64(F.col(key), F.col("epochs"), F.lit(seed)))  # the order of the unfinished epoch
         .withColumn("bin", F.shiftrightunsigned("rank", 52).cast("int"))

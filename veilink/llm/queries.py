@@ -78,6 +78,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(p7_selection(spark, d), read_table(spark, d, "mix_targets"))
 
 
+def p7_full(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mixture as large as all targeted records: sources at their cap fall short, and siblings take what they can't give."""
+    targets = read_table(spark, d, "mix_targets")
+    return mix_report(mix_sources(read_table(spark, d, "documents"), targets, total_tokens="all"), targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(read_table(spark, d, "documents"))
 
@@ -88,7 +94,7 @@ def p8_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_norms, p2_found, p2_confidence, p3_found, p3_rarity, p4_found, p4_links, p4_bound, p5_found, p6_ids, p6_round_trip, p7_selection, p7_shares, p8_found, p8_fraction)
+    f.__name__: f for f in (p1_found, p1_norms, p2_found, p2_confidence, p3_found, p3_rarity, p4_found, p4_links, p4_bound, p5_found, p6_ids, p6_round_trip, p7_selection, p7_shares, p7_full, p8_found, p8_fraction)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width, spread
+from ..session import checkpointed, shuffle_width, spread
 
 PIECES = "doc bigint, key bigint, piece bigint, lo int, n int"
 JUDGED = "doc bigint, key bigint, lo int, n int"
 RUNS = "doc bigint, lo int, hi int"
+CLASSES = 1 << 17  # of keys, for the first count
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -203,10 +205,11 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _judge_hot(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for groups that hold a large share of all pieces, with aggregates that combine before they shuffle."""
-    distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place"), F.max(F.struct("doc", "lo", "n")).alias("last")).persist()
+    """The same for groups of any size, with aggregates that combine before they shuffle."""
+    distinct = pieces.groupBy("key", "piece").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min(F.struct("doc", "lo", "n")).alias("place"), F.max(F.struct("doc", "lo", "n")).alias("last"))
+    distinct = checkpointed(distinct)
     groups = distinct.groupBy("key").agg(F.min("d0").alias("k0"), F.max("d1").alias("k1"), F.max(F.col("d0") == F.col("d1")).alias("ends")).where("k0 <> k1").select("key", "ends")
-    status = distinct.join(F.broadcast(groups), "key")  # at most 500 groups are hot
+    status = distinct.join(groups, "key")
     whole = pieces.join(status.where("d0 <> d1").select("key", "piece"), ["key", "piece"], "left_semi").select("doc", F.lit(None).cast("bigint").alias("key"), "lo", "n")
     single = pieces.join(status.where("ends and d0 = d1").select("key", "piece"), ["key", "piece"], "left_semi").select("doc", "key", "lo", "n", F.lit(True).alias("hot"))
     for place in ("place", "last"):
@@ -214,34 +217,59 @@ def _judge_hot(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, single
 
 
-def shared_spans(documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
+def hot_keys(pieces: DataFrame, most: int) -> DataFrame:
+    """Keys (``key``) of over ``most`` pieces. Classes of keys are counted in each partition first; only keys of large classes are counted one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.int64)
+        for b in batches:
+            counts += np.bincount(b.column(0).to_numpy() & (CLASSES - 1), minlength=CLASSES)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["class", "n"])
+
+    warm = checkpointed(pieces.select("key").mapInArrow(run, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("class"))  # at most CLASSES rows
+    if warm.isEmpty():
+        return pieces.select("key").limit(0)
+    some = pieces.select("key", F.col("key").bitwiseAND(CLASSES - 1).alias("class")).join(F.broadcast(warm), "class", "left_semi")
+    return checkpointed(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
+
+
+def shared_spans(
+    documents: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 200, seed_chars: int = 32, broadcast_rows: int = 1_000_000,
+    group_pieces: int = 100_000, task_chars: int = 4_000_000,
+) -> DataFrame:
     """(``key``, ``start_char``, ``end_char``) of every maximal shared stretch.
 
     Null, empty and short texts have none. Two rows of one key are one record: what only they share isn't a case, and their
     stretches are merged. Extra columns are ignored, empty tables give no rows. Runs repeated only inside a record don't count.
+    A group of over ``group_pieces`` pieces never meets in one task, and a task reads about ``task_chars`` characters of pieces at most.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.length(text) >= min_chars)
     pieces = spread(docs).mapInPandas(_cut(min_chars, seed_chars), PIECES).persist()
     n = pieces.count()
-    # every group with over a 500th of all pieces is among these; other groups fit a task
-    frequent = pieces.stat.freqItems(["key"], 0.002).first()[0] or [] if n else []
-    is_hot = F.col("key").isin(frequent) if frequent else F.lit(False)
+    frequent = hot_keys(pieces, group_pieces)
+    n_hot = frequent.count()
+    listed = F.broadcast(frequent) if n_hot <= broadcast_rows else frequent  # 8 bytes a key
     parts = max(shuffle_width(spark), -(-n // 250_000))
-    judged = pieces.where(~is_hot).repartition(parts, "key").mapInPandas(_judge, JUDGED).persist()
+    usual = pieces.join(listed, "key", "left_anti") if n_hot else pieces
+    judged = usual.repartition(parts, "key").mapInPandas(_judge, JUDGED).persist()
     whole, wanted = judged.where("key is null"), judged.where("key is not null").withColumn("hot", F.lit(False))
-    if frequent:
-        hot_whole, hot_wanted = _judge_hot(pieces.where(is_hot))
+    if n_hot:
+        hot_whole, hot_wanted = _judge_hot(pieces.join(listed, "key", "left_semi"))
         whole, wanted = whole.unionByName(hot_whole), wanted.unionByName(hot_wanted)
     whole = whole.select("doc", "lo", (F.col("lo") + F.col("n") - 1 + min_chars).alias("hi"))
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "lo", "n", "hot")).alias("wanted")).persist()
-    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= broadcast_rows
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "text", "wanted").mapInPandas(_texts(min_chars), "doc bigint, key bigint, lo int, hot boolean, chars string").persist()
-    meeting = texts.where("not hot").repartition(max(shuffle_width(docs.sparkSession), 32), "key").mapInPandas(_meet(min_chars), RUNS)
-    windows = texts.where("hot").mapInPandas(_explode(min_chars), "doc bigint, window bigint, at int")
-    twice = windows.groupBy("window").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1").select("window")
-    hot = windows.join(twice, "window", "left_semi").select("doc", F.col("at").alias("lo"), (F.col("at") + min_chars).alias("hi"))
-    return merged_runs(whole.unionByName(meeting).unionByName(hot), key)
+    chars = F.aggregate("wanted", F.lit(0).cast("bigint"), lambda s, w: s + w["n"] + min_chars)
+    n_wanted, n_chars = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)), F.coalesce(F.sum(chars), F.lit(0))).first()
+    texts = docs.join(F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted, "doc").select("doc", "text", "wanted").mapInPandas(_texts(min_chars), "doc bigint, key bigint, lo int, hot boolean, chars string").persist()
+    meeting = texts.where("not hot").repartition(max(shuffle_width(spark), -(-n_chars // task_chars)), "key").mapInPandas(_meet(min_chars), RUNS)
+    runs = whole.unionByName(meeting)
+    if n_hot:
+        windows = texts.where("hot").mapInPandas(_explode(min_chars), "doc bigint, window bigint, at int")
+        twice = windows.groupBy("window").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1").select("window")
+        runs = runs.unionByName(windows.join(twice, "window", "left_semi").select("doc", F.col("at").alias("lo"), (F.col("at") + min_chars).alias("hi")))
+    return merged_runs(runs, key)
 
 
 def merged_runs(runs: DataFrame, key: str) -> DataFrame:
