@@ -157,23 +157,20 @@ def refitted(router: Router, distinct: DataFrame, n_sets: int, universe: int) ->
     return Router(counts.reshape(universe, parts).astype(np.float64), sizes)
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    flipped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "o", F.col("nb").alias("na"), F.col("na").alias("nb"))
-    return pairs.unionByName(flipped)
-
-
 def nearest(pairs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Of pairs in both directions those (``a``, ``b``, ``sim``) where fewer than ``k`` rows are more similar to a row of ``a``; ties stay.
 
     ``copies`` has (``rep``, ``copies``) of sets that stand in several rows: a row's own copies are its most similar rows.
     """
-    own, theirs = copies.select(F.col("rep").alias("a"), F.col("copies").alias("ca")), copies.select(F.col("rep").alias("b"), F.col("copies").alias("cb"))
-    scored = both_ways(pairs).withColumn("sim", S.rounded_cosine()).join(own, "a", "left").join(theirs, "b", "left")
-    # ordered by similarity: rows with less than the current one's, without its ties
-    by_sim = scored.groupBy("a", "sim").agg(F.sum(F.coalesce("cb", F.lit(1))).alias("rows"), F.first("ca").alias("ca"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy("a").orderBy(F.desc("sim")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = by_sim.withColumn("before", before + F.coalesce("ca", F.lit(1)) - 1).where(F.col("before") < k).select("a", "sim")
-    return scored.select("a", "b", "sim").join(kept, ["a", "sim"], "left_semi").select("a", "b", "sim")
+    some = S.small(copies)
+    own, theirs = some.select(F.col("rep").alias("a"), F.col("copies").alias("ca")), some.select(F.col("rep").alias("b"), F.col("copies").alias("cb"))
+    flipped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), S.rounded_cosine().alias("sim"))
+    scored = pairs.select("a", "b", S.rounded_cosine().alias("sim")).unionByName(flipped).join(own, "a", "left").join(theirs, "b", "left")
+    # all windows divide by the same column, so the pairs are shuffled once
+    rows = F.coalesce("cb", F.lit(1))
+    by_sim = Window.partitionBy("a").orderBy(F.desc("sim")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    nearer = F.sum(rows).over(by_sim) - F.sum(rows).over(Window.partitionBy("a", "sim")) + F.coalesce("ca", F.lit(1)) - 1
+    return scored.withColumn("nearer", nearer).where(F.col("nearer") < k).select("a", "b", "sim")
 
 
 def nearest_rows(
@@ -200,10 +197,9 @@ def nearest_rows(
     release(spark)
     pairs = checkpointed(S.verified(near, distinct, rule, universe))
     release(spark)
-    copies = distinct.where("copies > 1").select("rep", "copies")
-    kept = nearest(pairs, copies, k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
-    members = S.copy_rows(encoded, distinct)
-    links = S.expanded(kept, members, a, b, "sim").unionByName(S.copy_pairs(members, a, b).withColumn("sim", F.lit(1.0)))
+    members = checkpointed(S.copy_rows(encoded, distinct))
+    kept = nearest(pairs, S.copy_counts(members), k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+    links = S.expanded(kept, S.small(members), a, b, "sim").unionByName(S.copy_pairs(members, a, b).withColumn("sim", F.lit(1.0)))
     return links.select(a, b, F.col("sim").alias("similarity")).distinct()
 
 

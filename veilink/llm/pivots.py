@@ -98,25 +98,26 @@ def similar_sets(
     near = checkpointed(S.sketch_pairs(sketched, rule, block_rows=block_rows))
     sketched.unpersist()
     release(records.sparkSession)
-    return checkpointed(S.verified(near, distinct, rule, universe)), S.copy_rows(encoded, distinct)
+    return checkpointed(S.verified(near, distinct, rule, universe)), checkpointed(S.copy_rows(encoded, distinct))
 
 
 def similar_rows(records: DataFrame, *, key: str = "row_id", a: str = "row_a", b: str = "row_b", **options) -> DataFrame:
     """All pairs of rows (``a`` < ``b``) whose sets reach the threshold, copies included, each once."""
     pairs, members = similar_sets(records, key=key, **options)
-    return S.expanded(pairs, members, a, b).unionByName(S.copy_pairs(members, a, b)).distinct()
+    return S.expanded(pairs, S.small(members), a, b).unionByName(S.copy_pairs(members, a, b)).distinct()
 
 
 def similar_row_links(records: DataFrame, *, key: str = "row_id", **options) -> DataFrame:
     """One row for each record with a set: its ``class_id`` (smallest row of equal set), ``copies`` and ``links``, its number of partners."""
     column, universe = options.get("column", "bf_indices"), options.get("universe", 1024)
-    pairs, _ = similar_sets(records, key=key, **options)
+    pairs, members = similar_sets(records, key=key, **options)
     encoded = S.encoded_sets(records, key, column, universe)
     classes = S.distinct_sets(encoded)
-    size = classes.select("rep", "copies")
+    copies = S.copy_counts(members)
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    links = both.join(size.withColumnRenamed("rep", "y"), "y").groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("others"))
-    rows = encoded.join(classes, "code").join(links, "rep", "left")
+    one = F.coalesce("copies", F.lit(1))
+    links = both.join(copies.withColumnRenamed("rep", "y"), "y", "left").groupBy(F.col("x").alias("rep")).agg(F.sum(one).alias("others"))
+    rows = encoded.join(classes.select("code", "rep"), "code").join(copies, "rep", "left").join(links, "rep", "left").withColumn("copies", one)
     return rows.select(F.col("row").alias(key), F.col("rep").alias("class_id"), "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")).distinct()
 
 

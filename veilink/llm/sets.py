@@ -106,8 +106,8 @@ def encoded_sets(records: DataFrame, key: str, column: str, universe: int) -> Da
 
 
 def distinct_sets(encoded: DataFrame) -> DataFrame:
-    """One row for each distinct set: its ``code``, its smallest row as ``rep``, its number of rows as ``copies``."""
-    return encoded.groupBy("code").agg(F.min("row").alias("rep"), F.countDistinct("row").alias("copies"))
+    """One row for each distinct set: its ``code``, its smallest row as ``rep``, and how many ``rows`` have it."""
+    return encoded.groupBy("code").agg(F.min("row").alias("rep"), F.count("*").alias("rows"))
 
 
 class Rule:
@@ -545,6 +545,11 @@ def verified(pairs: DataFrame, distinct: DataFrame, rule: Rule, universe: int) -
     return both.select("a", "b", "xa", "xb").mapInArrow(run, PAIRS)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` of two numbers each, to be sent to all executors if they are at most a fifth of ``BROADCAST_ROWS``; else as they are, to be joined by shuffles."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS // 5 else rows
+
+
 def expanded(pairs: DataFrame, copies: DataFrame, a: str, b: str, *also: str) -> DataFrame:
     """Pairs of rows from pairs of representatives and (``rep``, ``row``) of sets that stand in several rows."""
     left = pairs.join(copies.select(F.col("rep").alias("a"), F.col("row").alias("ra")), "a", "left")
@@ -554,13 +559,18 @@ def expanded(pairs: DataFrame, copies: DataFrame, a: str, b: str, *also: str) ->
 
 
 def copy_rows(encoded: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(``rep``, ``row``) of every set that stands in several rows."""
-    several = distinct.where("copies > 1").select("code", "rep")
+    """(``rep``, ``row``) of every set that stands in several rows; a row given twice comes once."""
+    several = distinct.where("rows > 1").select("code", "rep")
     if several.count() <= BROADCAST_ROWS // 5:  # a code is longer than an id
         several = F.broadcast(several)
     return encoded.join(several, "code").select("rep", "row").distinct()
 
 
+def copy_counts(members: DataFrame) -> DataFrame:
+    """(``rep``, ``copies``) of sets that stand in several different rows."""
+    return members.groupBy("rep").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
 def copy_pairs(copies: DataFrame, a: str, b: str) -> DataFrame:
     """All pairs of rows of equal sets, each once."""
     other = copies.select("rep", F.col("row").alias("other"))
