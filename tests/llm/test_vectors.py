@@ -107,11 +107,13 @@ def test_all_pairs_of_a_dense_region(spark, block):
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85])
-def test_segments_lose_no_pair(threshold):
-    sets = {k: x for k, x in sets_of(clusters() + [(20_000 + i, list(range(i)), None, "", 0) for i in range(1, 60)]).items()}
-    kept, codes = S.encode(pa.array([sorted(sets[k]) for k in sorted(sets)], pa.list_(pa.int32())), 1024)
-    cells = dict(zip(sorted(sets), map(set, S.Segments(S.Rule("jaccard", threshold), [bytes(c.as_py()) for c in codes[:100]], max(map(len, sets.values())), 1024).cells(codes))))
-    assert all(cells[a] & cells[b] for a, b in brute_jaccard(sets, threshold))
+@pytest.mark.parametrize("sets", [0, 10**5, 10**9])  # none, some and all contents count as frequent
+def test_segments_lose_no_pair(threshold, sets):
+    rows = {k: x for k, x in sets_of(clusters() + [(20_000 + i, list(range(i)), None, "", 0) for i in range(1, 60)]).items()}
+    kept, codes = S.encode(pa.array([sorted(rows[k]) for k in sorted(rows)], pa.list_(pa.int32())), 1024)
+    segments = S.Segments(S.Rule("jaccard", threshold), [bytes(c.as_py()) for c in codes[:100]], max(map(len, rows.values())), 1024, sets)
+    cells = dict(zip(sorted(rows), map(set, segments.cells(codes))))
+    assert len(cells) == len(rows) and all(cells[a] & cells[b] for a, b in brute_jaccard(rows, threshold) if rows[a] != rows[b])
 
 
 def test_exactly_at_the_threshold(spark):

@@ -75,11 +75,12 @@ def similar_sets(
     """
     encoded = S.encoded_sets(records, key, column, universe).persist()
     distinct = S.distinct_sets(encoded).persist()
-    pivots = S.sample_codes(distinct, n_cells(distinct.count(), rows_per_cell, most_pivots))
+    n_sets = distinct.count()
+    pivots = S.sample_codes(distinct, n_cells(n_sets, rows_per_cell, most_pivots))
     rule = S.Rule("jaccard", threshold)
     heads = 2 * -(-universe // 256)  # bytes of a code besides its positions
     largest = (distinct.agg(F.max(F.length("code"))).first()[0] or heads) - heads
-    shared = records.sparkSession.sparkContext.broadcast((pivots, S.Segments(rule, pivots, largest, universe)))  # at most most_pivots codes
+    shared = records.sparkSession.sparkContext.broadcast((pivots, S.Segments(rule, pivots, largest, universe, n_sets)))  # at most most_pivots codes
 
     def route(codes: pa.BinaryArray) -> list[np.ndarray]:
         pivots, segments = shared.value

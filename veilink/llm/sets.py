@@ -363,7 +363,7 @@ def hot_cells(sketched: DataFrame, block_rows: int) -> tuple[np.ndarray, np.ndar
     return np.array([r[0] for r in hot], np.int64), np.array([-(-r[1] // block_rows) for r in hot], np.int64), total
 
 
-def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, small: int = 48, rounds: int = 4, chunk: int = 40_000) -> DataFrame:
+def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, small: int = 48, rounds: int = 8, chunk: int = 40_000) -> DataFrame:
     """Pairs ``a < b`` of (``rep``, ``size``, ``f0``, ``f1``, ``cells``) that share a cell and whose folds don't rule them out, each once.
 
     Only a 128-bit fold and the size travel to the cells, packed for each partition into one value; and only those of one class of cells at a time, so that
@@ -375,7 +375,7 @@ def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, sm
     spark = sketched.sparkSession
     hot, blocks, total = hot_cells(sketched, block_rows)
     shared = spark.sparkContext.broadcast((hot, blocks))
-    parts = max(shuffle_width(spark), -(-total // (rounds * 200_000)))
+    parts = max(shuffle_width(spark), -(-total // (rounds * 200_000)), 1)
 
     def pack(turn: int):
         def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -475,23 +475,26 @@ class Segments:
     """Cells in which every two sets of a Jaccard rule meet, without exception.
 
     The positions are dealt to ``m`` segments. Two sets that differ in at most ``d`` elements agree on all of at least ``m - d`` segments, so if each
-    orders its segments' contents by one order of all contents, the first they share is among the first ``d + 1`` of both. The order puts the rarest first.
+    orders its segments' contents by one order of all contents, the first two they share are among the first ``d + 2`` of both. The order puts the rarest first.
+    A rare content is a cell. Frequent ones make cells two by two: if the first content that a pair shares is frequent, so is the second. What is frequent
+    follows from a content's estimated share of ``sets`` sets: about ``frequent`` sets or more have it.
     ``m`` and ``d`` follow the sizes: there is a band for each doubling of the size, and a pair meets in the band of its larger set.
     """
 
-    def __init__(self, rule: Rule, sample: list[bytes], largest: int, universe: int):
+    def __init__(self, rule: Rule, sample: list[bytes], largest: int, universe: int, sets: int = 0, frequent: int = 6000):
         if rule.kind != "jaccard":
             raise ValueError("segments are for jaccard")
         rows, pos, _ = decode(pa.array(sample, pa.binary()), universe)
         p = (np.bincount(pos, minlength=universe) + 0.5) / (len(sample) + 1)
         self.rule, self.universe, self.bands = rule, universe, []
         self.weight = np.round(1000 * np.log(p / (1 - p))).astype(np.int64)
+        self.common = -1000 * np.log(max(1.0, 0.2 * sets / frequent)) if sets else np.inf  # costs above it are frequent; an empty segment is about a fifth of all
         by_count = np.argsort(np.argsort(-p, kind="stable"), kind="stable")
         high = largest
         while high >= 1:
             low = high // 2 + 1
             apart = self.apart(np.array([high]), high)[0]
-            m = int(apart + 1 + apart // 32)
+            m = int(apart + 2)
             self.bands.append((low, high, m, by_count % m))
             high = low - 1
         r = np.random.default_rng(0)
@@ -504,7 +507,7 @@ class Segments:
 
     def cells(self, codes: pa.BinaryArray) -> list[np.ndarray]:
         rows, pos, n = decode(codes, self.universe)
-        found: list[list[np.ndarray]] = [[] for _ in range(len(codes))]
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # (set, cell)
         for k, (low, high, m, segment) in enumerate(self.bands):
             mine = np.flatnonzero((n <= high) & (self.rule.widest(n) >= low))
             if not len(mine):
@@ -517,11 +520,23 @@ class Segments:
             np.add.at(cost, at, self.weight[pos[inside]])
             np.add.at(content, at, self.marks[pos[inside]])
             content = _mixed(content.reshape(-1, m) ^ self.salts[k, :m])
-            order = np.argsort(cost.reshape(-1, m) * 4096 + np.arange(m), axis=1)
-            first = np.take_along_axis(content, order, 1).view(np.int64)
-            for i, row, take in zip(mine, first, self.apart(n[mine], high) + 1):
-                found[i].append(row[:take])
-        return [np.concatenate(x) if x else np.empty(0, np.int64) for x in found]
+            cost = cost.reshape(-1, m)
+            order = np.argsort(cost * 4096 + np.arange(m), axis=1)
+            first, cost = np.take_along_axis(content, order, 1), np.take_along_axis(cost, order, 1)
+            inside = np.arange(m) < (self.apart(n[mine], high) + 2)[:, None]
+            rare = inside & (cost <= self.common)
+            n_rare, n_in = rare.sum(1), inside.sum(1)
+            at = np.nonzero(rare)
+            found.append((mine[at[0]], first[at]))
+            for n_common in np.unique(n_in - n_rare):  # sets with equally many frequent contents at once
+                if n_common > 1:
+                    some = np.flatnonzero(n_in - n_rare == n_common)
+                    common = np.take_along_axis(first[some], n_rare[some][:, None] + np.arange(n_common), 1)
+                    x, y = np.triu_indices(n_common, 1)
+                    found.append((np.repeat(mine[some], len(x)), _mixed(common[:, x] * np.uint64(3) + common[:, y]).ravel()))
+        row, cell = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        order = np.argsort(row, kind="stable")
+        return np.split(cell[order].view(np.int64), np.cumsum(np.bincount(row, minlength=len(codes)))[:-1]) if len(codes) else []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
