@@ -29,9 +29,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the files of shuffles go that nothing refers to any more. Spark deletes them when the driver's JVM collects garbage, which it does seldom by
     itself; this asks for it, so that a query of several steps doesn't hold the shuffles of all of them on disk at once. Python's objects
-    give up what they hold in the JVM by a thread of their own, hence the short wait."""
+    give up what they hold in the JVM by a thread that looks once a second, hence the wait."""
     gc.collect()
-    time.sleep(0.5)
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 
