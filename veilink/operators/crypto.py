@@ -48,9 +48,14 @@ class RsaKeyProvider:
             maker = self.jvm.java.security.KeyPairGenerator.getInstance("RSA")
             maker.initialize(bits)
             pair = maker.generateKeyPair()
-            public, private = _pem(pair.getPublic(), "PUBLIC KEY"), _pem(pair.getPrivate(), "PRIVATE KEY")
+            public, private = self._pem(pair.getPublic(), "PUBLIC KEY", "X509EncodedKeySpec"), self._pem(pair.getPrivate(), "PRIVATE KEY", "PKCS8EncodedKeySpec")
         self.public, self.private = public, private
 
+    def _pem(self, key, kind: str, spec: str) -> str:
+        form = self.jvm.java.lang.Class.forName(f"java.security.spec.{spec}")
+        text = base64.b64encode(bytes(self.jvm.java.security.KeyFactory.getInstance("RSA").getKeySpec(key, form).getEncoded())).decode()
+        return "\n".join([f"-----BEGIN {kind}-----", *(text[i : i + 64] for i in range(0, len(text), 64)), f"-----END {kind}-----", ""])
+
     def _apply(self, data: bytes, pem: str | None, private: bool) -> bytes:
         if pem is None:
             raise ValueError(f"this provider holds no {'private' if private else 'public'} key")
@@ -58,7 +63,7 @@ class RsaKeyProvider:
         spec, keys = self.jvm.java.security.spec, self.jvm.java.security.KeyFactory.getInstance("RSA")
         key = keys.generatePrivate(spec.PKCS8EncodedKeySpec(der)) if private else keys.generatePublic(spec.X509EncodedKeySpec(der))
         mask = self.jvm.java.security.spec.MGF1ParameterSpec("SHA-256")
-        padding = self.jvm.javax.crypto.spec.OAEPParameterSpec("SHA-256", "MGF1", mask, self.jvm.javax.crypto.spec.PSource.PSpecified(b""))
+        padding = self.jvm.javax.crypto.spec.OAEPParameterSpec("SHA-256", "MGF1", mask, self.jvm.javax.crypto.spec.PSource.PSpecified.DEFAULT)
         cipher = self.jvm.javax.crypto.Cipher.getInstance("RSA/ECB/OAEPPadding")
         cipher.init(2 if private else 1, key, padding)
         return bytes(cipher.doFinal(data))
@@ -70,11 +75,6 @@ class RsaKeyProvider:
         return self._apply(wrapped, self.private, True)
 
 
-def _pem(key, kind: str) -> str:
-    text = base64.b64encode(bytes(key.getEncoded())).decode()
-    return "\n".join([f"-----BEGIN {kind}-----", *(text[i : i + 64] for i in range(0, len(text), 64)), f"-----END {kind}-----", ""])
-
-
 def new_key() -> bytes:
     return secrets.token_bytes(32)
 
