@@ -99,10 +99,16 @@ SELF = "SELECT l.k, max({sim}) AS th FROM {b} l JOIN {b} r ON l.k <> r.k GROUP B
 BEST = f"""WITH {SUPPLIERS}, t1 AS ({SELF.format(sim=sim('l', 'r'), b='b1')}), t2 AS ({SELF.format(sim=sim('l', 'r'), b='b2')}),
  m AS (SELECT l.k AS id1, arg_max(r.k, {sim('l', 'r')}) AS id2, max({sim('l', 'r')}) AS sim FROM b1 l CROSS JOIN b2 r GROUP BY l.k)"""
 
+# Published phonetic codes of the words of part names.
+CODES = "anvil ANFL, blue PL, bolt PLT, cold KLT, gear JR|KR, gizmo JSM|KSM, hot HT, large LRJ|LRK, new N|NF, old ALT, plate PLT, red RT, ring RNK, rod RT, small SML|XML, widget AJT|FJT"
+CODE_ROWS = ", ".join("('{}', '{}')".format(*pair.split()) for pair in CODES.split(", "))
+
 ORACLE_SQL: dict[str, str] = {
     "feat_tokens": f"SELECT p_partkey, {text(tokens('p_name'))} AS tokens FROM part",
     "feat_ngrams": f"SELECT p_partkey, {text(ngrams(tokens('p_name'), 1, 2, 3))} AS grams FROM part",
     "feat_skip_grams": f"SELECT p_partkey, {text(skip_grams(tokens('p_name')))} AS grams FROM part",
+    "feat_double_metaphone": f"""WITH codes(w, c) AS (VALUES {CODE_ROWS}), words AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)
+ SELECT p_partkey, string_agg(c, '|' ORDER BY i) AS codes FROM words JOIN codes USING (w) GROUP BY p_partkey""",
     "feat_strings": f"SELECT p_partkey, {text(ngrams(tokens('lower(p_name)'), 2, 3) + ' || ' + skip_grams(tokens('lower(p_name)')))} AS features FROM part",
     "feat_names": f"SELECT personid, {text(names('name'))} AS features FROM (SELECT DISTINCT personid, name, sex, birth_date, main_instrument, county FROM df2)",
     "feat_sex": f"SELECT id, {text(sex('gender'))} AS features, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT id, first_name, last_name, gender, date_of_birth, instrument, county FROM df1)",
