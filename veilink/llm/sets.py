@@ -431,9 +431,14 @@ def sketch_pairs(sketched: DataFrame, rule: Rule, *, block_rows: int = 32768, sm
         copies = np.concatenate(held)
         copies = copies[np.argsort(copies["key"])]
         key, rep, size, folds, out = copies["key"], copies["rep"].copy(), copies["size"].astype(np.int64), np.ascontiguousarray(copies["fold"]), []
+        f0, f1 = np.ascontiguousarray(folds[:, 0]), np.ascontiguousarray(folds[:, 1])
+        most = int(rule.most_apart(np.float64(size.max()), float(size.max())) + 1e-9)  # of any two sets here
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            near = np.bitwise_count(folds[i] ^ folds[j]).sum(1) <= rule.most_apart(size[i].astype(float), size[j].astype(float)) + 1e-9
+            apart = np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j])
+            some = np.flatnonzero(apart <= most)
+            i, j, apart = i[some], j[some], apart[some]
+            near = apart <= rule.most_apart(size[i].astype(float), size[j].astype(float)) + 1e-9
             a, b = rep[i[near]], rep[j[near]]
             other = a != b
             out.append(np.stack([np.minimum(a, b)[other], np.maximum(a, b)[other]]))
