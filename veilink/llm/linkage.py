@@ -26,7 +26,7 @@ def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: b
     """(``id``, ``key``, ``born``): keys of all passes, as hashes.
 
     A name part counts by the beginning of its sound or of that of its full forms, another one beside it by its first or last letters, so that one slip
-    doesn't part two records. Keys of a part and another with two parts of a date, and of a part's letters with a whole date, are for all pairs. In
+    doesn't part two records. Keys of a whole date, and of a part and another with two parts of a date, are for all pairs. In
     the others only pairs meet of which one lacks something: another name part, the month, or the year (then two parts, or a part with the
     place): ``0`` keys are of such records on the left and of all on the right, ``1`` keys of the other way round.
     """
@@ -37,13 +37,13 @@ def blocking_keys(batches: Iterator[pd.DataFrame], nicknames: Nicknames, left: b
                 y, m, d = date_or_none(y, m, d)
                 canon = {t: nicknames.canonical(t) for t in toks}
                 mine, open_ = set(), []  # keys of all pairs; keys of pairs with an open record, and whether this one is
+                if None not in (y, m, d):
+                    mine.add(f"d{y}.{min(m, d)}.{max(m, d)}")
                 halves = [f"{kind}{p}.{q}" for kind, p, q in (("a", y, m), ("b", y, d), ("c", m, d)) if None not in (p, q)]
                 for t in toks:
                     heads = {x[:4] for x in canon[t]}
                     others = {z for u in toks if u != t for z in canon[u]}
                     letters = {e for z in others for e in ends(z)}
-                    if None not in (y, m, d):
-                        mine.update(f"d{e}.{y}.{min(m, d)}.{max(m, d)}" for x in canon[t] for e in ends(x))
                     for half in halves:
                         mine.update(f"{half}.{x}.{e}" for x in heads for e in letters)
                         open_ += [(f"{half}.{x}", not others) for x in heads]
