@@ -194,6 +194,19 @@ def test_balanced_parts_and_router():
     assert together > 0.8
 
 
+def test_parts_follow_the_table_beyond_their_bound(spark):
+    """16 parts of n rows hold n/16 rows somewhere; cut into pieces, none does, and neighbours still meet."""
+    sets = sets_of(clusters(n=500))
+    distinct = S.distinct_sets(S.encoded_sets(spark.createDataFrame(clusters(n=500), SCHEMA), "row_id", "bf_indices", 1024)).persist()
+    codes = {r.rep: bytes(r.code) for r in distinct.collect()}
+    router = neighbours.fit_router(distinct, len(codes), universe=1024, rows_per_part=8, most_parts=16)
+    cells = dict(zip(codes, router.route(pa.array(codes.values(), pa.binary()), 1024, 7)))
+    assert max(np.bincount([c[0] for c in cells.values()])) < len(codes) / 16
+    pairs = [p for p in brute_nearest({k: sets[k] for k in codes}, 5, 0.6)]
+    met = sum(bool({*cells[a][:2]} & {*cells[b]} or {*cells[b][:2]} & {*cells[a]}) for a, b in pairs)
+    assert met >= 0.9 * len(pairs) and all(len(set(c)) == 7 for c in cells.values())
+
+
 def test_norms(spark):
     rows = [(1, [1, 2, 2, 4], None), (2, [1], float("nan")), (3, [1, 2, 3, 4], 2.0), (4, [1, 2, 3, 4], 5.0), (5, None, 1.0), (6, [], None)]
     got = {r.row_id: (round(r.bf_norms, 6), r.norm_repaired) for r in neighbours.repaired_norms(spark.createDataFrame(rows, "row_id bigint, bf_indices array<int>, bf_norms double")).collect()}
