@@ -211,3 +211,21 @@ def test_norms(spark):
     rows = [(1, [1, 2, 2, 4], None), (2, [1], float("nan")), (3, [1, 2, 3, 4], 2.0), (4, [1, 2, 3, 4], 5.0), (5, None, 1.0), (6, [], None)]
     got = {r.row_id: (round(r.bf_norms, 6), r.norm_repaired) for r in neighbours.repaired_norms(spark.createDataFrame(rows, "row_id bigint, bf_indices array<int>, bf_norms double")).collect()}
     assert got == {1: (1.732051, True), 2: (1.0, True), 3: (2.0, False), 4: (2.0, True), 5: (0.0, True), 6: (0.0, True)}
+
+
+@pytest.mark.parametrize("share, words, fits", [(0.05, 4, True), (0.05, 2, True), (0.2, 4, True), (0.6, 4, False)])
+def test_folds_compared_by_products_lose_nothing(share, words, fits):
+    r = np.random.default_rng(5)
+    bits = r.random((1700, 64 * words)) < share * r.uniform(0.5, 1.5, (1700, 1))
+    bits[850:] = bits[:850] ^ (r.random((850, 64 * words)) < 0.02)
+    bits[:, 0] = True
+    folds, sizes = np.packbits(bits, axis=1).view(np.uint64), bits.sum(1)
+    left, right = np.arange(0, 900), np.arange(900, 1700)
+    assert bool(S._by_products(folds, left, right, 768, 512)) == fits
+    apart = np.bitwise_count(folds[:, None, :] ^ folds[None, :, :]).sum(2)
+    for rule in (S.Rule("cosine", 0.6), S.Rule("jaccard", 0.7)):
+        near = apart <= rule.most_apart(sizes[:, None].astype(float), sizes[None, :].astype(float)) + 1e-9
+        for second in (right, None):
+            got = {(int(min(i, j)), int(max(i, j))) for x, y in S.near_pairs(folds, sizes, left, second, rule, None) for i, j in zip(x, y)}
+            want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j and i < 900 and ((j >= 900) if second is not None else (j < 900))}
+            assert want and want <= got
