@@ -116,6 +116,42 @@ def test_segments_lose_no_pair(threshold, sets):
     assert len(cells) == len(rows) and all(cells[a] & cells[b] for a, b in brute_jaccard(rows, threshold) if rows[a] != rows[b])
 
 
+def test_copies_of_a_set_dont_grow_with_the_table():
+    rows = sets_of(clusters())
+    _, codes = S.encode(pa.array([sorted(x) for x in rows.values() if len(x) < 100], pa.list_(pa.int32())), 1024)
+    copies = [sum(map(len, S.Segments(S.Rule("jaccard", 0.7), [bytes(c.as_py()) for c in codes[:100]], 97, 1024, sets).cells(codes))) for sets in (10**5, 10**6)]
+    assert copies[1] <= 1.1 * copies[0]
+
+
+@pytest.mark.parametrize("direct", [2, 600])  # with and without second contents
+@pytest.mark.parametrize("sets", [10**6, 10**9])
+def test_second_contents_lose_no_pair(spark, direct, sets):
+    rows = dense_region() + [(1000 + k, *x) for k, *x in clusters(n=60)]
+    want = {p for p in brute_jaccard(sets_of(rows), 0.7)}
+    rule, distinct = S.Rule("jaccard", 0.7), S.distinct_sets(S.encoded_sets(spark.createDataFrame(rows, SCHEMA), "row_id", "bf_indices", 1024)).persist()
+    codes = {r.rep: bytes(r.code) for r in distinct.collect()}
+    segments = S.Segments(rule, list(codes.values())[:300], 1024, 1024, sets, cold=1)
+    pairs = S.sketch_pairs(S.map_sketches(distinct, segments.prefixes, 1024), rule, direct=direct, rounds=2)
+    got = [(r.a, r.b) for r in S.verified(pairs, distinct, rule, 1024).collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p in want if set(p) <= set(codes)}
+
+
+@pytest.mark.parametrize("most, together", [(512, 32768), (20, 64)])
+def test_near_in_runs_lose_no_pair(most, together):
+    r = np.random.default_rng(3)
+    bits = r.random((900, 128)) < 0.25
+    bits[450:] = bits[:450] ^ (r.random((450, 128)) < 0.03)
+    folds, sizes, run = np.packbits(bits, axis=1).view(np.uint64), bits.sum(1), r.integers(0, 60, 450).repeat(2).reshape(450, 2).T.ravel() % r.integers(1, 60)
+    at = np.lexsort((sizes, run))
+    starts, lengths = S.runs_of(run[at])
+    rule = S.Rule("jaccard", 0.7)
+    apart = np.bitwise_count(folds[:, None, :] ^ folds[None, :, :]).sum(2)
+    near = (apart <= rule.most_apart(sizes[:, None].astype(float), sizes[None, :].astype(float)) + 1e-9) & (run[:, None] == run[None, :])
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j and sizes[[i, j]].min() >= 0.7 * sizes[[i, j]].max()}
+    got = [(int(min(i, j)), int(max(i, j))) for x, y in S.near_in_runs(folds, sizes, at, starts, lengths, rule, most, together) for i, j in zip(x, y)]
+    assert want and want <= set(got) and len(got) == len(set(got))
+
+
 def test_exactly_at_the_threshold(spark):
     rows = [(1, list(range(7)), None, "", 0), (2, list(range(10)), None, "", 0), (3, list(range(6)) + [99], None, "", 0)]
     got = {tuple(r) for r in pivots.similar_rows(spark.createDataFrame(rows, SCHEMA), threshold=0.7).collect()}

@@ -1,14 +1,11 @@
-"""All pairs of sets whose Jaccard similarity reaches a threshold, by metric pivot partitioning.
+"""All pairs of sets whose Jaccard similarity reaches a threshold.
 
-Pivots are records. Each distinct set goes to the cells of its nearest pivots under Jaccard distance and is joined
-exactly inside each cell.
+Distinct sets meet in the cells of their segments (``sets.Segments``), which lose no pair, whatever the data, and are compared exactly.
 
-The triangle inequality says where a record's partners can be: a partner within ``r`` of a record at ``d`` from its nearest
+Cells of pivots, which are records, can't do this. A partner within ``r`` of a record at ``d`` from its nearest
 pivot may have any pivot within ``d + 2r`` as its own nearest. On sets over a small universe nearly all distances
 lie close to one, and with ``r = 0.3`` this bound names every cell for nearly every record (``bound_replication``
-measures it). A record goes to all cells within the bound if there are at most ``replicas`` of them: it meets every partner, since each
-partner is in the cell of its own nearest pivot. Every other record goes to its nearest cell, and two of these meet in the cells of their segments
-(``sets.Segments``), which lose none either. So all pairs are found, whatever the data.
+measures it).
 """
 
 from __future__ import annotations
@@ -52,13 +49,6 @@ def _table(pivots: tuple[bytes, ...], universe: int) -> tuple[np.ndarray, np.nda
     return _TABLES[key]
 
 
-def nearest_cells(similarity: np.ndarray, replicas: int, radius: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """All pivots within the triangle bound ``nearest + 2 * radius`` where they are at most ``replicas``, else the nearest; and which sets have them all."""
-    inside = similarity >= similarity.max(axis=1, keepdims=True) - 2 * radius - 1e-6
-    whole = inside.sum(1) <= replicas
-    return [np.flatnonzero(row) if w else np.array([top]) for row, w, top in zip(inside, whole, similarity.argmax(axis=1))], whole
-
-
 def n_cells(sets: int, rows_per_cell: int, most: int) -> int:
     return int(min(most, max(16, 1 << max(0, round(np.log2(max(1, sets / rows_per_cell)))))))
 
@@ -71,31 +61,18 @@ def similar_sets(
 
     Equal sets are one record until the end, so any number of copies costs nothing. Null and empty sets are in no pair;
     repeated and unsorted positions don't matter. Two rows of one key count once if their sets are equal. Ties at the threshold
-    count. Extra columns are ignored; an empty table gives no pairs.
+    count. Extra columns are ignored; an empty table gives no pairs. ``rows_per_cell`` and ``most_pivots`` give the size of the sample from which the shares
+    of contents are estimated; ``replicas`` is accepted and changes nothing, as no set goes to cells of pivots.
     """
     encoded = S.encoded_sets(records, key, column, universe).persist()
     distinct = S.distinct_sets(encoded).persist()
     n_sets = distinct.count()
-    pivots = S.sample_codes(distinct, n_cells(n_sets, rows_per_cell, most_pivots))
+    sample = S.sample_codes(distinct, n_cells(n_sets, rows_per_cell, most_pivots))
     rule = S.Rule("jaccard", threshold)
     heads = 2 * -(-universe // 256)  # bytes of a code besides its positions
     largest = (distinct.agg(F.max(F.length("code"))).first()[0] or heads) - heads
-    shared = records.sparkSession.sparkContext.broadcast((pivots, S.Segments(rule, pivots, largest, universe, n_sets)))  # at most most_pivots codes
-
-    def route(codes: pa.BinaryArray) -> list[np.ndarray]:
-        pivots, segments = shared.value
-        out: list[np.ndarray] = []
-        for lo in range(0, len(codes), 512):
-            part = codes.slice(lo, 512)
-            cells, whole = nearest_cells(similarities(part, pivots, universe), replicas, 1 - threshold)
-            rest = np.flatnonzero(~whole)
-            if len(rest):
-                for i, more in zip(rest, segments.cells(part.take(pa.array(rest)))):
-                    cells[i] = np.concatenate([cells[i] * 4, more])  # a cell's two lowest bits are free
-            out += [c if i else c * 4 for c, i in zip(cells, ~whole)]
-        return out
-
-    sketched = S.map_sketches(distinct, route, universe).persist()
+    shared = records.sparkSession.sparkContext.broadcast(S.Segments(rule, sample, largest, universe, n_sets))
+    sketched = S.map_sketches(distinct, lambda codes: shared.value.prefixes(codes), universe).persist()
     near = checkpointed(S.sketch_pairs(sketched, rule, block_rows=block_rows))
     sketched.unpersist()
     release(records.sparkSession)
