@@ -109,3 +109,13 @@ def test_phonetic_context_rules():
     # published examples of the rules
     for word, codes in {"gallegos": ("KLKS", "KKS"), "bacchus": ("PKS", ""), "island": ("ALNT", ""), "accident": ("AKSTNT", ""), "bellocchio": ("PLX", ""), "cabrillo": ("KPRL", "KPR"), "thomas": ("TMS", "")}.items():
         assert double_metaphone(word) == codes, word
+
+
+@pytest.mark.parametrize("size, hashes, offset", [(1000, 2, 7), (1024, 3, 0), (77, 1, 0), (10, 0, 0)])
+def test_indices_of_a_table_are_those_of_the_expression(spark, size, hashes, offset):
+    rows = [(1, ["ab", "b_", "ab"]), (2, []), (3, None), (4, ["é", "", "ab"])]
+    df = spark.createDataFrame(rows, "id int, f array<string>")
+    bloom = BloomFilter(size, hashes, offset, "x")
+    want = {r.id: r.i for r in df.select("id", bloom.indices(F.col("f")).alias("i")).collect()}
+    got = bloom.with_indices(df, F.col("f"), "i")
+    assert {r.id: r.i for r in got.collect()} == want and got.columns == ["id", "f", "i"]

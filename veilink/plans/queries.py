@@ -120,8 +120,9 @@ def bloom_indices(spark, d):
 
 def bloom_odd_size(spark, d):
     """A size that isn't a power of two, with an offset: by whole digests."""
-    f = X.name_features()(F.col("c_name"))
-    return read_table(spark, d, "customer").select("c_custkey", joined(BloomFilter(1000, 2, 7, SALT).indices(f)).alias("indices"))
+    customers = spread(read_table(spark, d, "customer").select("c_custkey", "c_name"))
+    made = BloomFilter(1000, 2, 7, SALT).with_indices(customers.select("c_custkey", X.name_features()(F.col("c_name")).alias("features")), F.col("features"), "indices")
+    return made.select("c_custkey", joined(F.col("indices")).alias("indices"))
 
 
 def bloom_collisions(spark, d):
