@@ -326,3 +326,70 @@ def test_checksum_knows_functions():
     one, two = (Embedder(factory={"own": f}) for f in (lambda **_: (lambda c: F.array(F.upper(c))), lambda **_: (lambda c: F.array(F.lower(c)))))
     same = Embedder(factory={"own": lambda **_: (lambda c: F.array(F.upper(c)))})
     assert one.checksum != two.checksum and one.checksum == same.checksum
+
+
+@pytest.mark.parametrize("width, most", [(1024, 90), (1000, 300), (77, 20), (2048, 900)])
+def test_folds_lose_no_pair(spark, width, most):
+    r = np.random.default_rng(width)
+    base = [r.choice(width, r.integers(0, most), replace=False) for _ in range(20)]
+    lists = [[int(p) for p in base[k % 20] if r.random() < 0.8] + [int(p) for p in r.integers(0, width, k % 7)] for k in range(400)]
+    e = Embedder(BloomFilter(width))
+    df = spark.createDataFrame([(f"k{k // 2 if k < 20 else k}", x) for k, x in enumerate(lists)], "id string, bf_indices array<int>")
+    x = Embedded.from_df(df, e, "id")
+    m = np.zeros((400, width))
+    for k, v in enumerate(lists):
+        m[k, v] = 1
+    n = m.sum(1)
+    root = np.sqrt(np.outer(n, n))
+    sim = np.divide(m @ m.T, root, out=np.zeros_like(root), where=root > 0)
+    ids = np.array([f"k{k // 2 if k < 20 else k}" for k in range(400)])
+    for rows in (4096, 64):
+        for least in (0.3, 0.6):
+            i, j = np.nonzero(sim >= least)
+            got = sorted((r.id1, r.id2, r.sim) for r in compare(e, x, x, require_thresholds=False, least=least, block_rows=rows).collect())
+            assert got == sorted(zip(ids[i].tolist(), ids[j].tolist(), sim[i, j].tolist()))
+        others = np.where(ids[:, None] == ids[None, :], -np.inf, sim)
+        got = {r.id: r.thresholds for r in e.with_thresholds(x, block_rows=rows).df.collect()}
+        assert got == {k: others[ids == k].max() for k in set(ids.tolist())}
+
+
+def test_blocks_are_not_copied_for_each_other(spark, toy):
+    e, x, y = toy
+    for least in (None, 0.5):
+        plan = compare(e, x, y, least=least, block_rows=1)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan and "Cogroup" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exact_by_prices_has_the_largest_total(spark, seed, monkeypatch):
+    from veilink.operators import link
+
+    r = np.random.default_rng(seed)
+    e = Embedder(BloomFilter(128))
+    sides = []
+    for n in (90, 70):
+        lists = [[int(p) for p in r.choice(64 * (1 + k % 2), r.integers(0, 14))] for k in range(n)]
+        df = spark.createDataFrame(list(enumerate(lists)), "id int, bf_indices array<int>")
+        sides.append(Embedded.from_df(df, e, "id"))
+    pairs = compare(e, *sides, require_thresholds=False, block_rows=30)
+    options = {"require_thresholds": False, "abs_cutoff": 0.0}
+    whole = match(pairs, **options).collect()
+    monkeypatch.setattr(link, "WHOLE_CELLS", 0)
+    monkeypatch.setattr(link, "NEAREST", 2)
+    monkeypatch.setattr(link, "_exact", None)  # what holds the matrix isn't called
+    got = match(pairs, **options).collect()
+    assert abs(sum(x.sim for x in got) - sum(x.sim for x in whole)) < 1e-6
+    assert len(got) == len(whole) == len({x.id1 for x in got}) == len({x.id2 for x in got}) == 70
+    scores = {(x.id1, x.id2): x.sim for x in pairs.collect()}
+    assert all(scores[x.id1, x.id2] == x.sim for x in got)
+
+
+def test_indexed_in_blocks(spark):
+    r = np.random.default_rng(5)
+    e = Embedder(BloomFilter(64))
+    df = spark.createDataFrame([(k, [int(p) for p in r.integers(0, 64, k % 12)]) for k in range(60)], "id int, bf_indices array<int>")
+    x = Embedded.from_df(df, e, "id")
+    got = compare_indexed(x, x)
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # no join of over as many entries as pairs
+    want = {(y.id1, y.id2): y.sim for y in compare(e, x, x, require_thresholds=False).collect() if y.sim > 0}
+    assert {(y.id1, y.id2): y.sim for y in got.collect()} == want
