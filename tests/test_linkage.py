@@ -393,3 +393,15 @@ def test_indexed_in_blocks(spark):
     assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()  # no join of over as many entries as pairs
     want = {(y.id1, y.id2): y.sim for y in compare(e, x, x, require_thresholds=False).collect() if y.sim > 0}
     assert {(y.id1, y.id2): y.sim for y in got.collect()} == want
+
+
+def test_prices_prove_the_sparse_assignment():
+    from veilink.operators.assign import assign_priced
+
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        n, m = r.integers(1, 9, 2)
+        w = np.round(r.random((n, m)), int(r.integers(1, 4))) * (r.random((n, m)) < 0.7)
+        i, j = np.nonzero(w > 0)
+        k, u, v = assign_priced(i, j, w[i, j], n, m)
+        assert abs(u.sum() + v.sum() - w[i[k], j[k]].sum()) < 1e-9 and (w - u[:, None] - v[None, :] < 1e-9).all()
